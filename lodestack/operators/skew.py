@@ -63,9 +63,10 @@ def exact_percentiles(weighted: DataFrame, keys: list[str], value: str, shares:
     rank = F.greatest(F.ceil(F.col("share") * F.col("__all")), F.lit(1)).cast("bigint")
     asked = asked.withColumn("__rank", rank).where("__rank > __below AND __rank <= __upto")
     asked = asked.groupBy(*keys, "__class", "__below").agg(F.collect_list(F.struct("share", "__rank")).alias("__asked"))
-    same = [classed[k].eqNullSafe(asked[k]) for k in keys] + [classed["__class"] == asked["__class"]]
-    inside = classed.join(asked, same).select(
-        *[classed[k] for k in keys], classed[value], classed["weight"], asked["__below"], asked["__asked"], asked["__class"]
+    left, right = classed.alias("l"), asked.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l.__class") == F.col("r.__class")]
+    inside = left.join(right, same).select(
+        *[F.col(f"l.{c}") for c in (*keys, value, "weight", "__class")], F.col("r.__below"), F.col("r.__asked")
     )
     run = F.sum("weight").over(Window.partitionBy(*keys, "__class").orderBy(value)) + F.col("__below")
     hit = F.filter("__asked", lambda a: (a["__rank"] <= F.col("__run")) & (a["__rank"] > F.col("__run") - F.col("weight")))
