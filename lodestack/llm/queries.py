@@ -41,21 +41,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per pair, per extension, per volume and of all, the coarser ones combined from the pairs' buffers."""
+    """Percentiles per pair, per extension and per volume, the coarser ones combined from the pairs' buffers."""
     pair = ["volume_id", "extension"]
     buffers = percentiles.sketch(_sized(spark, d), pair, F.col("size_bytes"), ["id"])
-    anything = {"volume_id": F.lit(None).cast("bigint"), "extension": F.lit(None).cast("string")}
-    levels = {"pair": pair, "extension": ["extension"], "volume": ["volume_id"], "all": []}
-    parts = []
-    for name, kept in levels.items():
-        level = buffers.withColumns({c: anything[c] for c in pair if c not in kept}).withColumn("level", F.lit(name))
-        parts.append(level)
-    spread = parts[0]
-    for part in parts[1:]:
-        spread = spread.unionByName(part)
+    nothing = {"volume_id": F.lit(None).cast("bigint"), "extension": F.lit(None).cast("string")}
+    level = lambda name, *kept: F.struct(
+        F.lit(name).alias("level"), *[(F.col(c) if c in kept else nothing[c]).alias(c) for c in pair]
+    )
+    levels = F.array(level("pair", *pair), level("extension", "extension"), level("volume", "volume_id"))
     groups = ["level", *pair]
+    spread = buffers.select(F.explode(levels).alias("g"), "value", "weight", "error").select("g.*", "value", "weight", "error")
     out = percentiles.percentiles(percentiles.combine(spread, groups), groups, SHARES)
-    return out.select(*groups, "share", F.col("value").alias("size_bytes"), F.col("rows").cast("bigint").alias("file_count"), F.col("rank_error").cast("bigint").alias("rank_error"))
+    return out.select(
+        *groups, "share", F.col("value").alias("size_bytes"), F.col("rows").cast("bigint").alias("file_count"), F.col("rank_error").cast("bigint").alias("rank_error")
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -23,8 +23,7 @@ PERCENTILES = f"""
 WITH {SIZED},
 l AS (SELECT 'pair' AS level, volume_id, extension, size_bytes FROM f
   UNION ALL SELECT 'extension', NULL, extension, size_bytes FROM f
-  UNION ALL SELECT 'volume', volume_id, NULL, size_bytes FROM f
-  UNION ALL SELECT 'all', NULL, NULL, size_bytes FROM f),
+  UNION ALL SELECT 'volume', volume_id, NULL, size_bytes FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY level, volume_id, extension ORDER BY size_bytes) AS pos,
              count(*) OVER (PARTITION BY level, volume_id, extension) AS n FROM l),
 s AS (SELECT unnest([{', '.join(map(str, SHARES))}])::DOUBLE AS share)
