@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import skew, snapshots
+from lodestack.plans import catalogue
 from lodestack.sources.tables import table
 
 
@@ -44,4 +45,4 @@ def p5_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_summary, p5_found, p5_totals, p5_medians)}
+    return {f.__name__: f for f in (p4_found, p4_summary, p5_found, p5_totals, p5_medians)} | catalogue.queries()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodestack.plans import catalogue_sql
+
 CHANGES = """
 WITH h AS (SELECT id AS scan_id, row_number() OVER (PARTITION BY volume_id ORDER BY started_at, id) AS pos, volume_id,
                   lag(id) OVER (PARTITION BY volume_id ORDER BY started_at, id) AS before
@@ -26,7 +28,7 @@ k AS (SELECT 'volume_id' AS key_field, volume_id AS key_id, size_bytes FROM f UN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return catalogue_sql.oracle_sql() | {
         "p4_found": f"{CHANGES} SELECT scan_id, relative_path, change_type FROM c WHERE change_type IS NOT NULL",
         "p4_summary": f"""{CHANGES} SELECT scan_id, count(*) FILTER (change_type = 'added') AS files_added, count(*) FILTER (change_type = 'removed') AS files_removed,
   count(*) FILTER (change_type = 'changed') AS files_changed, sum(coalesce(new_size, 0) - coalesce(old_size, 0))::BIGINT AS bytes_delta
