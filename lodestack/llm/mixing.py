@@ -154,13 +154,13 @@ def mixing_plan(lengths: DataFrame, targets: DataFrame, table: int = TABLE) -> D
 
 
 def mixing_report(plan: DataFrame) -> DataFrame:
-    """Per source: target, tokens there, tokens chosen and the share of all chosen tokens that they are."""
+    """Per source: target, tokens there, tokens chosen and the share of all chosen tokens that they are (null if none are)."""
     chosen = F.col("n_tokens") * (F.col("documents") * F.col("passes") + F.col("extra"))
     per = plan.groupBy("source_key", "source_name", "target_share", "max_repeats", "budget", "source_tokens", "unreachable").agg(
         F.sum("documents").alias("documents"), F.sum(chosen).alias("chosen_tokens")
     )
     all_chosen = F.sum("chosen_tokens").over(Window.partitionBy(F.lit(1)))  # one row per listed source
-    return per.drop("source_key").withColumn("reached_share", F.col("chosen_tokens") / all_chosen)
+    return per.drop("source_key").withColumn("reached_share", F.try_divide(F.col("chosen_tokens"), all_chosen))
 
 
 def chosen_documents(lengths: DataFrame, plan: DataFrame, doc: str, seed: int = 0, buckets: int | None = None) -> DataFrame:

@@ -154,11 +154,10 @@ def mark_terms(counts: DataFrame, least_records: int = 5, most_share: float = 0.
     """``term, occurrences, records, mark``: ``rare`` below ``least_records`` records, ``common`` above the share of all
     records (those without a term included), else null. A term that is both is ``common``.
     """
-    total = counts.where("level = 'all'").select(F.col("records").alias("__all"))
-    term = counts.where("level = 'term'")
-    both = term.withColumn("__k", F.lit(1)).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k")  # one row
-    mark = F.when(F.col("records") > F.lit(most_share) * F.col("__all"), "common").when(F.col("records") < least_records, "rare")
-    return both.select("term", "occurrences", "records", mark.alias("mark"))
+    total = counts.where("level = 'all'").select("records").first()
+    everything = F.lit(most_share * (total["records"] if total else 0))
+    mark = F.when(F.col("records") > everything, "common").when(F.col("records") < least_records, "rare")
+    return counts.where("level = 'term'").select("term", "occurrences", "records", mark.alias("mark"))
 
 
 def count_deliveries(rows: DataFrame, record: Column, term: Column, delivery: Column, buckets: int = 16) -> DataFrame:
