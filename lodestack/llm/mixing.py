@@ -23,7 +23,9 @@ from lodestack.functions.text import strip
 from lodestack.session import parallelism, shared_path
 
 #: Tokens that the knapsack's table reaches; a larger budget is filled in proportion to the lengths up to half of it.
-TABLE = 1 << 22
+TABLE = 1 << 17
+#: The largest table that is tried where a smaller one misses the budget.
+MOST_TABLE = 1 << 23
 #: Characters that the tokenizer is given at a time where a text is longer.
 PIECE = 200_000
 
@@ -77,22 +79,32 @@ def source_key(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE, most: int = MOST_TABLE) -> np.ndarray:
     """How many documents of each length to take so that their tokens come as near to the budget as they can.
 
     Within the table the sum is the nearest that any subset has, the smaller one of two equally near. A budget beyond the
-    table is first filled, up to half of a table, with the same share of every length; the table then settles the rest.
+    table is first filled, up to half of a table, with the same share of every length, and the table settles the rest; if
+    that misses the budget, tables up to ``most`` are tried, and the nearest sum of all is taken.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    taken = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
+    if budget >= int((lengths * counts).sum()):
         return np.where(lengths > 0, counts, 0)
-    if budget <= 0:
-        return taken
-    rest = budget
+    best = np.zeros(len(lengths), np.int64)
+    missed = max(0, budget)
+    while missed:
+        taken = _fit(lengths, counts, budget, table)
+        off = abs(budget - int((lengths * taken).sum()))
+        best, missed = (taken, off) if off < missed else (best, missed)
+        if budget <= table or table >= most:
+            break
+        table *= 4
+    return best
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
+    taken, rest = np.zeros(len(lengths), np.int64), budget
     if budget > table:
-        taken = np.floor(counts * ((budget - table // 2) / total)).astype(np.int64)
+        taken = np.floor(counts * ((budget - table // 2) / int((lengths * counts).sum()))).astype(np.int64)
         rest = budget - int((lengths * taken).sum())
         for i in np.argsort(-lengths):
             more = min(int(counts[i] - taken[i]), max(0, (rest - table // 2) // max(1, int(lengths[i])))) if lengths[i] else 0
@@ -111,8 +123,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
                 via[np.flatnonzero(np.unpackbits(bits, bitorder="little")[:top])] = len(chunks)
                 reach |= fresh
             left, size = left - k, size * 2
-    sums = np.flatnonzero(via) if via.any() else np.array([], np.int64)
-    sums = np.concatenate([[0], sums])
+    sums = np.concatenate([[0], np.flatnonzero(via)])
     at = int(sums[np.argmin(np.abs(sums - rest))])
     while at:
         i, k = chunks[via[at] - 1]
