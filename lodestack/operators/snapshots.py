@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from lodestack.session import parallelism
 
+#: Snapshots listed in a sequence up to which it is sent to every executor (about 40 bytes each); beyond, it is joined.
+BROADCAST_SNAPSHOTS = 200_000
+
 
 def latest_reading(df: DataFrame, keys: Sequence[str], newest_by: str, tie_by: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the one with the greatest ``newest_by``.
@@ -63,6 +66,8 @@ def snapshot_changes(
     order = sequence.select(F.col(snapshot).alias("__s"), F.col(group).alias("__g"), F.col("position").alias("__at"))
     follow = order.select("__g", (F.col("__at") - 1).alias("__at"), F.col("__s").alias("__next"))
     order = order.join(follow, ["__g", "__at"], "left")
+    if sequence.count() <= BROADCAST_SNAPSHOTS:
+        order = F.broadcast(order)
     rows = snapshots.select(F.col(snapshot).alias("__s"), *[F.col(c).alias(f"c_{c}") for c in used]).join(order, "__s")
     by_key = ["__g", f"c_{key}"]
     rows = rows.repartitionByRange(n, *by_key)
