@@ -1,9 +1,10 @@
 """Reading level of every document from human grades of a few.
 
 Documents and what they are written with form a graph: a document is linked to each of its distinct words and to
-nodes for its sentence length, its share of long words and their sum. Graded documents are clamped to their grade; a
-node's difficulty is the mean of its documents', a document's the weighted mean of its nodes', and both are worked out
-in turn until they stand still. The fixed point is the harmonic function of the graph.
+nodes for its sentence length, its share of long words and their sum. A link weighs what its node weighs (rare nodes
+and nodes for shape more), and GRADED times that if its document is graded. Graded documents are clamped to their grade;
+every other document and every node takes the weighted mean of what it is linked to, documents and nodes in turn, until
+they stand still. The fixed point is the harmonic function of the graph.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from lodestack.session import cut_lineage
 #: Nodes up to which their scores are sent to every executor (8 bytes each); beyond, scores are joined.
 BROADCAST_NODES = 1_000_000
 #: Rounds at most, and the change of a node's score at which they end.
-ROUNDS, STILL = 15, 0.002
+ROUNDS, STILL = 20, 0.01
+#: How many times the links of a graded document weigh those of another. Few documents are graded; with equal links their
+#: grades would drown in the mean of all others.
+GRADED = 100.0
+#: How many times a node for the shape of a text weighs a word that is as frequent.
+SHAPE = 100.0
 
 WORD = r"\p{L}+"
 LONG = r"\p{L}{7,}"
@@ -63,14 +69,14 @@ def mean_grades(grades: DataFrame, doc: str, rater: str, grade: str) -> DataFram
 
 
 def node_weights(linked: DataFrame, documents: int) -> DataFrame:
-    """``node, weight`` of nodes with at least two documents: log(documents / its documents) squared, twice that and one more for shape.
+    """``node, weight`` of nodes with at least two documents: log(documents / its documents) squared, SHAPE times that for shape.
 
     A node of one document only hands that document's own level back to it and does not move the fixed point, so it
     is left out, like a word that every document has, whose weight is 0.
     """
     counted = linked.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     idf = F.pow(F.log(F.lit(float(documents)) / F.col("n")), 2)
-    weight = F.when(F.col("node").startswith("#"), F.lit(1.0) + F.lit(2.0) * idf * F.sqrt(idf)).otherwise(idf)
+    weight = F.when(F.col("node").startswith("#"), F.lit(SHAPE) * idf).otherwise(idf)
     return counted.select("node", weight.alias("weight")).where("weight > 0")
 
 
@@ -93,8 +99,8 @@ def reading_levels(docs: DataFrame, doc: str, text: str, grades: DataFrame, rate
     return levels.select(doc, "level", F.col("grade").isNotNull().alias("graded"), "n_words", "n_sentences", "n_long", lix().alias("lix"))
 
 
-def _means(scores: np.ndarray, weights: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level of each document of a batch (nan where it has none), its nodes one after another, and how many each has."""
+def _means(scores: np.ndarray, weights: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level of each document of a batch (nan where it has none), what its links weigh, its nodes one after another, and how many each has."""
     lists = batch.column("ids")
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -103,7 +109,7 @@ def _means(scores: np.ndarray, weights: np.ndarray, batch: pa.RecordBatch) -> tu
     with np.errstate(invalid="ignore", divide="ignore"):
         level = np.bincount(owner, (weights * scores)[flat], len(sizes)) / total
     grade = batch.column("grade").to_numpy(zero_copy_only=False)
-    return np.where(np.isnan(grade), level, grade), flat, sizes
+    return np.where(np.isnan(grade), level, grade), np.where(np.isnan(grade), 1.0, GRADED), flat, sizes
 
 
 def _levels_broadcast(held: DataFrame, weights: DataFrame, mean: float, rounds: int, still: float) -> DataFrame:
@@ -129,11 +135,11 @@ def _levels_broadcast(held: DataFrame, weights: DataFrame, mean: float, rounds:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, count = np.zeros(len(weight.value)), np.zeros(len(weight.value))
             for batch in batches:
-                level, flat, sizes = _means(scores.value, weight.value, batch)
-                each = np.repeat(level, sizes)
+                level, links, flat, sizes = _means(scores.value, weight.value, batch)
+                each, times = np.repeat(level, sizes), np.repeat(links, sizes)
                 good = ~np.isnan(each)
-                total += np.bincount(flat[good], each[good], len(total))
-                count += np.bincount(flat[good], minlength=len(count))
+                total += np.bincount(flat[good], (each * times)[good], len(total))
+                count += np.bincount(flat[good], times[good], len(count))
             there = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there]), pa.array(count[there])], names=["id", "total", "n"])
 
@@ -167,14 +173,15 @@ def _levels_joined(held: DataFrame, doc: str, weights: DataFrame, mean: float, r
 
     def level(scores: DataFrame) -> DataFrame:
         own = links.join(scores, "node").groupBy(doc).agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("level"), F.max("grade").alias("grade"))
-        return own.select(F.col(doc), F.coalesce("grade", "level").alias("level"))
+        times = F.when(F.col("grade").isNull(), 1.0).otherwise(GRADED)
+        return own.select(F.col(doc), F.coalesce("grade", "level").alias("level"), times.alias("times"))
 
     for _ in range(rounds):
-        new = links.select(doc, "node").join(level(scores), doc).groupBy("node").agg(F.avg("level").alias("score"))
+        new = links.select(doc, "node").join(level(scores), doc).groupBy("node").agg((F.sum(F.col("level") * F.col("times")) / F.sum("times")).alias("score"))
         new = cut_lineage(new)
         moved = new.join(scores.withColumnRenamed("score", "old"), "node").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         scores = new
         if moved is None or moved < still:
             break
-    final = level(scores)
+    final = level(scores).drop("times")
     return held.join(final, doc, "left").withColumn("level", F.coalesce("grade", "level"))
