@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.session import cut_lineage
+
 
 def weighted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, value, weight``: how often each value occurs with each key. Null keys and values count as values."""
@@ -33,48 +35,70 @@ def key_summary(weighted: DataFrame, keys: list[str], value: str, known: Column)
     )
 
 
-def size_class(value: Column) -> Column:
-    """An order-preserving class of a non-negative value: its power of two and the next three bits."""
-    top = F.length(F.bin(F.greatest(value, F.lit(1)))) - 1
-    step = F.when(top >= 3, F.call_function("shiftright", value, top - 3).bitwiseAND(F.lit(7).cast("bigint"))).otherwise(value)
-    return (top * 8 + step).cast("int")
+#: Different values of a key in a class up to which they are ordered in one task; larger classes are divided further.
+MOST_VALUES = 1_000_000
+FIRST_BITS, MORE_BITS = 3, 10
+
+
+def size_class(value: Column, level: int = 0) -> Column:
+    """An order-preserving class of a non-negative 64-bit value: its power of two and the bits after the first.
+
+    Level 0 looks at the next 3 bits (at most 512 classes), each further level at 10 more.
+    """
+    top = F.length(F.bin(F.greatest(value, F.lit(1).cast("bigint")))) - 1
+    shift = F.greatest(top - (FIRST_BITS + MORE_BITS * level), F.lit(0))
+    return F.struct(top.cast("int").alias("top"), F.call_function("shiftright", value, shift).alias("bits"))
 
 
 def exact_percentiles(weighted: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Exact lower percentiles per key from weighted non-negative integer values.
+    """Exact lower percentiles per key from weighted non-negative integer values: ``keys, share, value``.
 
-    The value at share q is the smallest one with at least ``ceil(q * n)`` rows at or below it (the first for q = 0).
-    A key's values are not brought into one task: they are counted per ``size_class`` first (at most 512 classes a
-    key), the running count of the classes finds the class that holds each asked rank, and only the values of those
-    classes are ordered, each class on its own. Result: ``keys, share, value``.
+    The value at share q is the smallest one with at least ``ceil(q * n)`` rows at or below it (the first for q = 0). Null
+    values don't count. A key's values are not brought into one task: they are counted by class, the running count of
+    the classes finds the class that holds each asked rank, and classes with many different values are divided further,
+    until those of a class are few enough to be ordered.
     """
-    classed = weighted.where(F.col(value).isNotNull()).withColumn("__class", size_class(F.col(value).cast("bigint")))
-    per_class = classed.groupBy(*keys, "__class").agg(F.sum("weight").alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy("__class")
-    whole = Window.partitionBy(*keys)
-    ends = per_class.select(
-        *keys,
-        "__class",
-        (F.sum("__n").over(upto) - F.col("__n")).alias("__below"),
-        F.sum("__n").over(upto).alias("__upto"),
-        F.sum("__n").over(whole).alias("__all"),
-    )
-    asked = ends.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
-    rank = F.greatest(F.ceil(F.col("share") * F.col("__all")), F.lit(1)).cast("bigint")
-    asked = asked.withColumn("__rank", rank).where("__rank > __below AND __rank <= __upto")
-    asked = asked.groupBy(*keys, "__class", "__below").agg(F.collect_list(F.struct("share", "__rank")).alias("__asked"))
-    left, right = classed.alias("l"), asked.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l.__class") == F.col("r.__class")]
-    inside = left.join(right, same).select(
-        *[F.col(f"l.{c}") for c in (*keys, value, "weight", "__class")], F.col("r.__below"), F.col("r.__asked")
-    )
-    run = F.sum("weight").over(Window.partitionBy(*keys, "__class").orderBy(value)) + F.col("__below")
-    hit = F.filter("__asked", lambda a: (a["__rank"] <= F.col("__run")) & (a["__rank"] > F.col("__run") - F.col("weight")))
-    return (
-        inside.withColumn("__run", run)
-        .select(*keys, F.explode(hit).alias("__hit"), value)
-        .select(*keys, F.col("__hit.share").alias("share"), F.col(value).alias("value"))
-    )
+    v = F.col(value).cast("bigint")
+    held = weighted.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], v.alias("v"), F.col("weight").alias("w"))
+    named = [f"k{i}" for i in range(len(keys))]
+    level, asked = 0, None
+    while True:
+        asked = cut_lineage(_place(held, named, level, asked, shares))  # one row per key, class and share
+        most = asked.agg(F.max("values")).first()[0]
+        if most is None or most <= MOST_VALUES or FIRST_BITS + MORE_BITS * level >= 62:
+            break
+        level += 1
+    inside = _within(held, named, level, asked)
+    run = F.sum("w").over(Window.partitionBy(*named, "c").orderBy("v"))
+    hit = F.filter("ranks", lambda r: (r["rank"] <= F.col("run")) & (r["rank"] > F.col("run") - F.col("w")))
+    found = inside.withColumn("run", run).select(*named, F.explode(hit).alias("hit"), "v")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("hit.share").alias("share"), F.col("v").cast(weighted.schema[value].dataType).alias("value"))
+
+
+def _within(held: DataFrame, named: list[str], level: int, asked: DataFrame) -> DataFrame:
+    """Values whose class holds an asked rank, with the ranks counted within the class."""
+    ranks = asked.groupBy(*named, "c").agg(F.collect_list(F.struct("share", "rank")).alias("ranks")).alias("r")
+    left = held.withColumn("c", size_class(F.col("v"), level)).alias("l")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in named] + [F.col("l.c") == F.col("r.c")]
+    return left.join(ranks, same).select(*[F.col(f"l.{c}") for c in (*named, "v", "w", "c")], F.col("r.ranks"))
+
+
+def _place(held: DataFrame, named: list[str], level: int, asked: DataFrame | None, shares: list[float]) -> DataFrame:
+    """``key, c, share, rank, values``: the class of each asked rank, the rank within it and its number of different values."""
+    if asked is None:
+        part, whole, source = named, Window.partitionBy(*named), held.withColumn("outer", F.lit(0))
+        wanted = lambda: F.array(*[F.struct(F.lit(float(q)).alias("share"), F.greatest(F.ceil(F.lit(q) * F.col("all")), F.lit(1)).cast("bigint").alias("rank")) for q in shares])
+    else:
+        source = _within(held, named, level - 1, asked).withColumnRenamed("c", "outer")
+        part, whole = [*named, "outer"], Window.partitionBy(*named, "outer")
+        wanted = lambda: F.col("ranks")
+    counts = [F.sum("w").alias("n"), F.count(F.lit(1)).alias("values")]
+    counts += [] if asked is None else [F.first("ranks").alias("ranks")]
+    classes = source.groupBy(*named, "outer", size_class(F.col("v"), level).alias("c")).agg(*counts)
+    classes = classes.select("*", F.sum("n").over(Window.partitionBy(*part).orderBy("c")).alias("upto"), F.sum("n").over(whole).alias("all"))
+    before = F.col("upto") - F.col("n")
+    inside = classes.select(*named, "c", before.alias("before"), "upto", "values", F.explode(wanted()).alias("a")).where("a.rank > before AND a.rank <= upto")
+    return inside.select(*named, "c", F.col("a.share").alias("share"), (F.col("a.rank") - F.col("before")).alias("rank"), "values")
 
 
 def distinct_files(files: DataFrame) -> DataFrame:

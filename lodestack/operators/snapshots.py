@@ -18,6 +18,9 @@ from lodestack.session import parallelism
 
 #: Snapshots listed in a sequence up to which it is sent to every executor (about 40 bytes each); beyond, it is joined.
 BROADCAST_SNAPSHOTS = 200_000
+#: Keys are counted in so many buckets before the shuffle, and rows of a bucket are collapsed on the map side where it has
+#: more than so many rows and so many times its share.
+BUCKETS, HOT_ROWS, HOT_TIMES = 4096, 100_000, 4
 
 
 def latest_reading(df: DataFrame, keys: Sequence[str], newest_by: str, tie_by: Sequence[str]) -> DataFrame:
@@ -31,6 +34,23 @@ def latest_reading(df: DataFrame, keys: Sequence[str], newest_by: str, tie_by: S
     return df.withColumn("__reading", F.row_number().over(w)).where("__reading = 1").drop("__reading")
 
 
+def collapse_hot(df: DataFrame, keys: Sequence[str], same: Sequence[str], newest_by: str, tie_by: Sequence[str]) -> DataFrame:
+    """The rows with those of much repeated keys already settled as ``latest_reading`` would, before they are shuffled.
+
+    A key that holds a third of all rows would otherwise be one task's work. Keys are counted by bucket first, at most
+    BUCKETS numbers; only rows of hot buckets are grouped, so the others are not shuffled for this. ``same`` names columns
+    that follow from the keys.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    sizes = {r["b"]: r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()}
+    hot = [b for b, n in sizes.items() if n > HOT_ROWS and n * BUCKETS > HOT_TIMES * sum(sizes.values())]
+    if not hot:
+        return df
+    newest = F.max(F.struct(newest_by, *tie_by)).alias("__newest")
+    settled = df.where(bucket.isin(hot)).groupBy(*keys, *same).agg(newest).select(*keys, *same, "__newest.*")
+    return df.where(~bucket.isin(hot)).unionByName(settled.select(*df.columns))
+
+
 def differs(left: str, right: str, columns: Sequence[str]) -> Column:
     """True if any column differs; null equals only null."""
     tests = [~F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in columns]
@@ -70,8 +90,9 @@ def snapshot_changes(
         order = F.broadcast(order)
     rows = snapshots.select(F.col(snapshot).alias("__s"), *[F.col(c).alias(f"c_{c}") for c in used]).join(order, "__s")
     by_key = ["__g", f"c_{key}"]
-    rows = rows.repartitionByRange(n, *by_key)
     ties = [f"c_{c}" for c in ([absent] if absent else []) + list(compare)]
+    rows = collapse_hot(rows, ["__s", f"c_{key}"], ["__g", "__at", "__next"], f"c_{newest_by}", ties)
+    rows = rows.repartitionByRange(n, *by_key)
     rows = latest_reading(rows, [*by_key, "__at"], f"c_{newest_by}", ties)
     if absent:
         rows = rows.where(F.coalesce(F.col(f"c_{absent}"), F.lit(0)) != 1)

@@ -34,8 +34,10 @@ def test_totals_against_brute_force(spark, seed):
         assert (r.files, r.total_bytes, r.sized_files, r.distinct_sizes, r.common_size) == (len(sizes), sum(known), len(known), len(set(known)), common)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 2])
 @pytest.mark.parametrize("seed", range(3))
-def test_exact_percentiles_against_brute_force(spark, seed):
+def test_exact_percentiles_against_brute_force(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(s, "MOST_VALUES", most)
     rng = random.Random(seed)
     special = [0, 1, 2, 7, 8, 9, 15, 16, 17, 2**29 - 1, 2**29, 2**53, 2**53 + 1, 2**62, 2**63 - 1]
     rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([*special, rng.randrange(2**40), None])) for _ in range(700)]
@@ -49,11 +51,12 @@ def test_exact_percentiles_against_brute_force(spark, seed):
     assert got == want
 
 
-def test_classes_keep_the_order(spark):
+@pytest.mark.parametrize("level", [0, 1, 3, 6])
+def test_classes_keep_the_order(spark, level):
     values = sorted({*range(300), *(2**k + d for k in range(3, 62) for d in (-1, 0, 1)), 2**63 - 1})
-    df = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", s.size_class(F.col("v")).alias("c")).orderBy("v").collect()
-    classes = [r.c for r in df]
-    assert classes == sorted(classes) and len(set(classes)) < 512
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", s.size_class(F.col("v"), level).alias("c")).orderBy("v").collect()
+    classes = [tuple(r.c) for r in df]
+    assert classes == sorted(classes) and (level or len(set(classes)) < 512) and (level < 6 or len(set(classes)) == len(values))
 
 
 def test_heavy_keys(spark):

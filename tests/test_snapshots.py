@@ -40,8 +40,11 @@ def brute(rows, history):
     return sorted(out)
 
 
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("seed", range(4))
-def test_against_brute_force(spark, seed):
+def test_against_brute_force(spark, seed, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(s, "HOT_ROWS", 5)
     rng = random.Random(seed)
     history = [(i, rng.choice([1, 2]), at(rng.randrange(99) + i / 100), rng.choice(["completed", "completed", "failed", "running"])) for i in range(1, 13)]
     volume = {h[0]: h[1] for h in history}
@@ -96,3 +99,13 @@ def test_a_hot_volume_is_cut_into_ranges_and_sorted_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan
     assert df.select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 300").count() >= 3
+
+
+def test_a_key_with_most_rows_is_collapsed_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOT_ROWS", 1000)
+    history = spark.createDataFrame([(1, 1, at(0), "completed"), (2, 1, at(1), "completed")], HIST)
+    one = spark.createDataFrame([(2, 1, "hot", 1, None, 0, at(1))], SNAP)
+    rows = one.crossJoin(spark.range(20_000).select()).unionByName(spark.createDataFrame([(1, 1, "cold", 1, None, 0, at(1))], SNAP))
+    df = s.scan_changes(rows, history)
+    assert "partial_max" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.relative_path, r.change_type) for r in df.collect()) == [("cold", "removed"), ("hot", "added")]
