@@ -27,7 +27,10 @@ BLOCK_CHARS = 8_000_000
 INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿"
 WORD = re.compile(rf"(?:[^\W_]|[̀-ͯ{INVISIBLE}])+")
 UNSEEN = re.compile(rf"[{INVISIBLE}]+")
-MARKUP = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]*)?/?>|&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
+MARKUP = re.compile(
+    r"""</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>"""
+    r"|&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
+)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,9 +125,11 @@ class WindowSet:
             yield index, item, first, last - first
 
 
-def _blocks(items: DataFrame, item: str, text: str, n: int) -> Iterator[WindowSet]:
-    total = items.agg(F.sum(F.length(text))).first()[0] or 0
-    count = -(-total // BLOCK_CHARS) or 1
+def _block_count(items: DataFrame, text: str) -> int:
+    return max(1, -(-(items.agg(F.sum(F.length(text))).first()[0] or 0) // BLOCK_CHARS))
+
+
+def _blocks(items: DataFrame, item: str, text: str, n: int, count: int) -> Iterator[WindowSet]:
     for b in range(count):
         block = items.where(F.pmod(F.xxhash64(item, text), F.lit(count)) == b) if count > 1 else items
         yield WindowSet([(r[0], r[1]) for r in block.select(item, text).collect()], n)
@@ -157,7 +162,7 @@ def leaked_spans(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
         return run
 
     narrow = docs.where(F.col(text).isNotNull()).select(doc, text)
-    parts = [narrow.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(items, item, item_text, n)]
+    parts = [narrow.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(items, item, item_text, n, _block_count(items, item_text))]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -174,21 +179,36 @@ def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField(text, T.StringType()), T.StructField("removed_words", T.LongType())])
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item, item_text, n)]
+    if _block_count(items, item_text) == 1:
+        block = spark.sparkContext.broadcast(next(_blocks(items, item, item_text, n, 1)))
+
+        def cut(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
+            return ((index, first, length) for index, _, first, length in block.value.spans(texts))
+
+        source = docs.select(doc, text)
+    else:
+        # Several blocks are not held at once: their spans are found block by block and brought to their document.
+        found = leaked_spans(docs, doc, text, items, item, item_text, n)
+        spans = found.groupBy(F.col(doc).alias("__d")).agg(F.collect_set(F.struct("first_word", "words")).alias("__spans"))
+
+        def cut(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
+            return ((i, s["first_word"], s["words"]) for i, own in enumerate(batch.column(2).to_pylist()) for s in own or ())
+
+        source = docs.select(doc, text).join(spans, F.col(doc).eqNullSafe(F.col("__d")), "left").select(doc, text, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            cut: dict[int, set[int]] = defaultdict(set)
-            for block in blocks:
-                for index, _, first, length in block.value.spans(texts):
-                    cut[index].update(range(first, first + length))
-            for index, gone in cut.items():
-                texts[index] = _without(texts[index], gone)
-            removed = [len(cut[i]) if i in cut else 0 for i in range(len(texts))]
+            gone: dict[int, set[int]] = defaultdict(set)
+            for index, first, length in cut(batch, texts):
+                gone[index].update(range(first, first + length))
+            for index, words_of in gone.items():
+                if texts[index] is not None:
+                    texts[index] = _without(texts[index], words_of)
+            removed = [len(gone[i]) if i in gone else 0 for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return docs.select(doc, text).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def _without(text: str, gone: set[int]) -> str:

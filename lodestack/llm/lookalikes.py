@@ -89,7 +89,6 @@ def spell(token: str) -> str:
     return token.translate(TO_SCRIPT[script]) if (script := next(iter(shared))) in TO_SCRIPT else token
 
 
-@lru_cache(maxsize=1 << 16)
 def one_form(text: str) -> str:
     """The one form of a text."""
     if text.isascii() and text.isprintable():
@@ -100,9 +99,12 @@ def one_form(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+_known = lru_cache(maxsize=1 << 15)(one_form)
+
+
 def one_form_path(path: str) -> str:
-    """As ``one_form``; segments between slashes repeat from path to path and are worked out once."""
-    return "/".join(map(one_form, path.split("/")))
+    """As ``one_form``; segments between slashes repeat from path to path and the short ones are kept."""
+    return "/".join(_known(x) if len(x) < 256 else one_form(x) for x in path.split("/"))
 
 
 @F.pandas_udf(T.StringType())

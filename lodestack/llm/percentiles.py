@@ -3,10 +3,11 @@
 The summary of a group is a buffer: sorted values with weights that add up to the group's row count. Buffers of several
 parts are merged in order and collapsed to at most ``capacity`` elements of equal weight by selecting evenly spaced
 positions. Nothing is random, so the same input gives the same summary. The merges form a tree of fixed height: leaves
-(a group's rows are dealt to many of them by a hash of the row), their parents, and the root. Each collapse to spacing w
-moves a rank by at most w, and a node's error is the sum of its children's errors plus its own, so with three levels the
-rank error is below ``3 n / capacity``; the exact bound reached is a column. A group with at most ``capacity`` rows is
-never collapsed and its percentiles are exact.
+(a group's rows are dealt to many of them by a hash of the row), their parents, and the root. A collapse to spacing w
+moves a rank by less than w, and a node's error is the sum of its children's errors plus its own. Spacing is the total
+divided by the capacity, rounded up, so each of the three levels adds at most twice n / capacity, about once where
+nodes are much larger than the capacity. The exact bound reached comes with every percentile. A group with at most
+``capacity`` rows is never collapsed and its percentiles are exact.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def leaf_buffers(rows: DataFrame, groups: list[str], value: Column, record: list
 
 def sketch(rows: DataFrame, groups: list[str], value: Column, record: list[str], capacity: int = CAPACITY, leaves: int | None = None) -> DataFrame:
     """One buffer per group as rows ``groups, value, weight, error``; at most capacity rows a group. Store or merge it."""
-    return leaf_buffers(rows, groups, value, record, leaves or max(4, parallelism(rows.sparkSession)), capacity)
+    return leaf_buffers(rows, groups, value, record, leaves or max(16, 8 * parallelism(rows.sparkSession)), capacity)
 
 
 def combine(buffers: DataFrame, groups: list[str], capacity: int = CAPACITY) -> DataFrame:

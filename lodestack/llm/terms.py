@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.session import drop_path, shared_path
+from lodestack.session import drop_path, parallelism, shared_path
 
 #: The state: one row per term, and one with level ``all`` for all records with or without a term.
 STATE = T.StructType(
@@ -160,7 +160,7 @@ def mark_terms(counts: DataFrame, least_records: int = 5, most_share: float = 0.
     return counts.where("level = 'term'").select("term", "occurrences", "records", mark.alias("mark"))
 
 
-def count_deliveries(rows: DataFrame, record: Column, term: Column, delivery: Column, buckets: int = 16) -> DataFrame:
+def count_deliveries(rows: DataFrame, record: Column, term: Column, delivery: Column, buckets: int | None = None) -> DataFrame:
     """Counts of a table that arrived in deliveries, through the persistent store.
 
     The signed changes of all deliveries are aggregated in one pass into a log, which has one row per delivery and term.
@@ -168,6 +168,7 @@ def count_deliveries(rows: DataFrame, record: Column, term: Column, delivery: Co
     the partitions of its own terms only. ``delivery`` should be coarse (a day, a month); null comes first.
     """
     spark = rows.sparkSession
+    buckets = buckets or max(16, parallelism(spark))
     store = TermCounts(spark, shared_path(spark, "terms"), buckets)
     staged = shared_path(spark, "deltas")
     term_deltas(signed_changes(record_terms(rows, record, term, delivery)), buckets).write.parquet(staged)

@@ -27,6 +27,7 @@ DRESSED = {
     "emphasis": LONG.replace("three", "**three**").replace("five", "_five_"),
     "tags": LONG.replace(" ", "</b> <i class='x'>"),
     "entities": LONG.replace(" ", "&nbsp;"),
+    "comparisons": LONG.replace("three", "< three").replace("five", "> five"),
     "twelve of them": " ".join(LONG.split()[1:13]) + " else",
 }
 
@@ -38,6 +39,7 @@ def test_a_passage_is_found_however_dressed(spark, name):
 
 def test_eleven_words_are_too_few_and_words_must_follow(spark):
     words = LONG.split()
+    assert k.words("a <b and c> d <i k='x y'>e</i> &amp; f") == ["a", "b", "and", "c", "d", "e", "f"]
     docs = [(1, " ".join(words[:11])), (2, " ".join(words[:6] + ["x"] + words[6:])), (3, SHORT), (4, "where did the old tram"), (5, "where did the old tramway go")]
     assert found(spark, docs, [(7, LONG), (8, SHORT)]) == [(3, 8)]
 
@@ -68,7 +70,9 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert set(found(spark, docs, items, 5)) == want
 
 
-def test_spans_and_what_is_left_without_them(spark):
+@pytest.mark.parametrize("block", [8_000_000, 50])
+def test_spans_and_what_is_left_without_them(spark, block, monkeypatch):
+    monkeypatch.setattr(k, "BLOCK_CHARS", block)
     text = f"Intro: {LONG}. Middle; {' '.join(LONG.split()[2:])}! End"
     docs = spark.createDataFrame([(1, text), (2, "clean"), (3, None), (4, SHORT)], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, LONG), (8, SHORT)], ITEMS)
