@@ -113,6 +113,12 @@ def _one_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(one_form_path, na_action="ignore")
 
 
+@F.pandas_udf(T.BooleanType())
+def _same_form(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for one, other in batches:
+        yield one.map(one_form_path) == other.map(one_form_path)
+
+
 def canonical(c: Column) -> Column:
     """The one form of a text column; null stays null. Printable ASCII is its own form and never leaves the JVM."""
     odd = F.when(c.rlike(r"[^\x20-\x7e]"), c)
@@ -133,5 +139,6 @@ def lookalike_pairs(rows: DataFrame, within: str, text: str, record: str) -> Dat
     a, b = once.alias("a"), once.alias("b")
     found = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.t") < F.col("b.t")) & (F.col("a.r") != F.col("b.r")))
     found = found.select(F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
-    sure = found.where(canonical(F.col("ta")) == canonical(F.col("tb")))
+    # One function of both texts, so that it runs on what the join found and not on either side of it.
+    sure = found.where(_same_form("ta", "tb"))
     return sure.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b")).distinct()
