@@ -14,6 +14,11 @@ def by_name(name: str = "name") -> list[Column]:
     return [ascii_lower(F.col(name)).asc_nulls_first(), F.col("id")]
 
 
+def by_id(df: DataFrame, id: int) -> DataFrame:
+    """The row with an id, copies once; the filter is pushed to the scan."""
+    return df.where(F.col("id") == id).dropDuplicates(["id"])
+
+
 def child_folders(folders: DataFrame, volume_id: int, parent_id: int | None) -> DataFrame:
     """The folders right below one; a null parent gives the volume's roots. Missing ones are listed too."""
     return folders.where((F.col("volume_id") == volume_id) & F.col("parent_id").eqNullSafe(F.lit(parent_id))).orderBy(*by_name())

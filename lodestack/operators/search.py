@@ -50,3 +50,9 @@ def _matches(items: DataFrame, kind: str, text: str, include_paths: bool, dotted
     return items.where(test).select(
         F.lit(kind).alias("item_type"), F.col("id").alias("item_id"), "name", "volume_id", "relative_path", F.col(size).alias("size_bytes"), "modified_at", "missing", rank.alias("match_rank")
     )
+
+
+def with_connection(hits: DataFrame, connected: DataFrame) -> DataFrame:
+    """Hits with whether their volume is connected and where (of ``volumes.connected_volumes``: one small row a volume)."""
+    about = connected.select(F.col("id").alias("volume_id"), "connected", "found_path")
+    return hits.join(about, "volume_id", "left").withColumn("connected", F.coalesce("connected", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.catalogue import category, type_label
+from lodestack.functions.catalogue import category, display_time, format_size, size_delta, type_label
 from lodestack.operators.tree import unknown_as_zero
 
 
@@ -129,3 +129,32 @@ def has_changes(summary: DataFrame) -> DataFrame:
     moved = sum((F.col(c) for c in ["files_added", "files_removed", "files_changed", *folders]), F.lit(0)) > 0
     earlier = [F.col(c) for c in ("files_before", "folders_before") if c in summary.columns]
     return summary.withColumns({"has_previous": sum(earlier, F.lit(0)) > 0, "has_changes": moved})
+
+
+def scan_log(history: DataFrame, errors: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``volume_id, section, id, line_number, line``: scans and errors as lines of text; newest id first makes the log.
+
+    A scan has a line of totals, if it was compared two of changes, and one of its message if there is one. Unknown
+    folder counts are shown as 0.
+    """
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in history.columns else F.lit(0)
+    compared = F.col("files_added").isNotNull()
+    lines = F.array(
+        F.concat(display_time(F.col("started_at"), zone), F.lit(" - "), "status", F.lit(" - "), "files_seen", F.lit(" files, "), "folders_seen", F.lit(" folders, "), "errors_count", F.lit(" errors")),
+        F.when(
+            compared,
+            F.concat(
+                F.lit("  Changes: +"), "files_added", F.lit(" files, -"), count("files_removed"), F.lit(" files, "), count("files_changed"), F.lit(" changed; +"),
+                count("folders_added"), F.lit(" folders, -"), count("folders_removed"), F.lit(" folders"),
+            ),
+        ),
+        F.when(
+            compared,
+            F.concat(F.lit("  Indexed size: "), format_size(F.col("bytes_before")), F.lit(" -> "), format_size(F.col("bytes_after")), F.lit(" ("), size_delta(count("bytes_before"), count("bytes_after")), F.lit(")")),
+        ),
+        F.when(F.coalesce("message", F.lit("")) != "", F.concat(F.lit("  "), "message")),
+    )
+    scans = history.select("volume_id", F.lit("scan").alias("section"), "id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line_number", "line"))
+    text = F.concat(display_time(F.col("created_at"), zone), F.lit(" - "), "path", F.lit(": "), F.coalesce("message", F.lit("")))
+    failed = one_of_each(errors).select("volume_id", F.lit("error").alias("section"), "id", F.lit(0).alias("line_number"), text.alias("line"))
+    return scans.unionByName(failed)

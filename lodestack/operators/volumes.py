@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.catalogue import drive_sequence, drive_sort_key, percentage_full
+from lodestack.functions.catalogue import drive_reference, drive_sequence, drive_sort_key, percentage_full
 from lodestack.functions.text import ascii_lower, strip
 
-#: Fields that the volume filter looks at, in their order.
-HAYSTACK = ["drive_id", "name", "source_path", "identity_label", "identity_serial", "identity_filesystem", "register_status", "condition", "connector", "description", "earliest_content_date", "latest_content_date", "date_added", "retired_date", "mirror_date", "master_drive_id"]
+#: Fields that the volume filter looks at.
+HAYSTACK = ["drive_id", "name", "source_path", "register_status", "condition", "description", "connector", "date_added", "earliest_content_date", "latest_content_date", "retired_date", "mirror_date", "indexed_file_count", "indexed_folder_count"]
 
 
 def numbered(ids: DataFrame, start: int = 0) -> DataFrame:
@@ -97,8 +97,10 @@ def duplicate_names(df: DataFrame, column: str) -> DataFrame:
 
 
 def filter_volumes(view: DataFrame, text: str) -> DataFrame:
-    """Volumes whose fields hold every word of the text, without case."""
+    """Volumes whose fields, the word ``mirror`` and the master's reference hold every word of the text, without case."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HAYSTACK if c in view.columns]
+    fields.append(F.when(F.col("is_mirror") == 1, "mirror").otherwise(""))
+    fields.append(F.when(F.col("master_volume_id").isNotNull(), drive_reference(F.col("master_drive_id"), F.col("master_name"))).otherwise(""))
     haystack = F.lower(F.concat_ws(" ", *fields))
     for term in text.lower().split():
         view = view.where(F.contains(haystack, F.lit(term)))

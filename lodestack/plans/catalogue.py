@@ -73,7 +73,7 @@ def drive_natural_order(spark, d):
 
 
 def volume_filter(spark, d):
-    return volumes.filter_volumes(view(spark, d), "vault usb").select("id", "name", "drive_id")
+    return volumes.filter_volumes(view(spark, d), "vault usb mirror").select("id", "name", "drive_id")
 
 
 def connected_volumes(spark, d):
@@ -251,6 +251,15 @@ def timestamp_text(spark, d):
     return table(spark, d, "files").select("id", fn.time_text(F.col("modified_at")).alias("stored"), F.to_date("modified_at").cast("string").alias("day")).distinct()
 
 
+def scan_log(spark, d):
+    return stats.scan_log(table(spark, d, "scan_history"), table(spark, d, "scan_errors"))
+
+
+def search_connected(spark, d):
+    """Hits of a search with whether their volume is connected."""
+    return search.with_connection(_search("minutes")(spark, d), connected_volumes(spark, d)).select("item_type", "item_id", "volume_id", "connected", "found_path")
+
+
 def message_counts(spark, d):
     """Scan errors by message without case, surrounding blanks and code."""
     text = F.regexp_replace(F.lower(strip(F.col("message"))), r"\s*\(code \d+\)$", "")
@@ -263,7 +272,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalogue_info, content_dates, volume_counts, duplicate_identities, file_type_counts, ancestor_closure, direct_folder_stats, recursive_folder_stats,
         prune_history, prune_errors, recent_history, recent_errors, error_counts, diff_summary, folder_diff, upsert_files, finalize_files, delete_volume, update_volume,
         list_children, list_files, directory_listing, navigate_path, file_properties, folder_properties, sizes_shown, volume_shown, extension_extract, path_parts,
-        uint64_wrap, timestamp_text, message_counts,
+        uint64_wrap, timestamp_text, message_counts, scan_log, search_connected,
     )
     searches = {
         "search_name": _search("Harbour"),

@@ -77,6 +77,11 @@ s AS (SELECT back, volume_id, relative_path, size_bytes, modified_at FROM (
         FROM file_snapshots t JOIN h USING (scan_id) WHERE h.back <= 2) WHERE r = 1 AND missing <> 1)
 """
 
+CONNECTED = """
+WITH k AS (SELECT identity_kind, lower(identity_token) AS token, '/mnt/' || min(id) AS mount_root FROM volumes WHERE id % 3 = 0 AND identity_token <> '' AND identity_kind <> '' GROUP BY 1, 2)
+SELECT v.id, mount_root, CASE WHEN mount_root IS NULL THEN NULL WHEN trim(v.source_relative_path, '/') IN ('', '.') THEN mount_root ELSE mount_root || '/' || trim(v.source_relative_path, '/') END AS found_path,
+  mount_root IS NOT NULL AS connected FROM volumes v LEFT JOIN k ON k.identity_kind = v.identity_kind AND k.token = lower(v.identity_token)"""
+
 
 def oracle_sql() -> dict[str, str]:
     master = "LEFT JOIN volumes m ON m.id = r.master_volume_id LEFT JOIN r AS mr ON mr.volume_id = m.id"
@@ -103,11 +108,18 @@ FROM b LEFT JOIN r ON r.volume_id = b.m) WHERE violation IS NOT NULL""",
         "next_drive_id": "SELECT format('AID-{:03d}', max(id) + 1) AS drive_id FROM volumes",
         "drive_natural_order": """SELECT id, drive_id, row_number() OVER (ORDER BY n IS NULL, n, lower(drive_id))::INT AS place
 FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 'Shelf ' || id ELSE format('AID-{:03d}', id) END AS drive_id, CASE WHEN id % 7 <> 0 THEN id END AS n FROM volumes)""",
-        "volume_filter": f"WITH {REGISTER} SELECT v.id, v.name, r.drive_id FROM volumes v JOIN r ON r.volume_id = v.id WHERE contains(lower(concat_ws(' ', r.drive_id, coalesce(v.name, ''), v.source_path, v.identity_label)), 'vault')",
-        "connected_volumes": """
-WITH k AS (SELECT identity_kind, lower(identity_token) AS token, '/mnt/' || min(id) AS mount_root FROM volumes WHERE id % 3 = 0 AND identity_token <> '' AND identity_kind <> '' GROUP BY 1, 2)
-SELECT v.id, mount_root, CASE WHEN mount_root IS NULL THEN NULL WHEN trim(v.source_relative_path, '/') IN ('', '.') THEN mount_root ELSE mount_root || '/' || trim(v.source_relative_path, '/') END AS found_path,
-  mount_root IS NOT NULL AS connected FROM volumes v LEFT JOIN k ON k.identity_kind = v.identity_kind AND k.token = lower(v.identity_token)""",
+        "volume_filter": f"""WITH {REGISTER} SELECT v.id, v.name, r.drive_id FROM volumes v JOIN r ON r.volume_id = v.id LEFT JOIN volumes m ON m.id = r.master_volume_id
+WHERE is_mirror = 1 AND contains(lower(concat_ws(' ', r.drive_id, v.name, v.source_path, m.name)), 'vault')""",
+        "scan_log": f"""
+SELECT volume_id, 'scan' AS section, id, (u.i - 1)::INT AS line_number, lines[u.i] AS line FROM (SELECT volume_id, id, list_filter([
+  coalesce(strftime(started_at, '%Y-%m-%d %H:%M'), '-') || ' - ' || status || ' - ' || files_seen || ' files, ' || folders_seen || ' folders, ' || errors_count || ' errors',
+  CASE WHEN files_added IS NOT NULL THEN '  Changes: +' || files_added || ' files, -' || files_removed || ' files, ' || files_changed || ' changed; +0 folders, -0 folders' END,
+  CASE WHEN files_added IS NOT NULL THEN '  Indexed size: ' || {size_text('bytes_before')} || ' -> ' || {size_text('bytes_after')} || ' (' ||
+    CASE WHEN bytes_after > bytes_before THEN '+' WHEN bytes_after < bytes_before THEN '-' ELSE '' END || {size_text('abs(bytes_after - bytes_before)')} || ')' END,
+  CASE WHEN message <> '' THEN '  ' || message END], lambda x: x IS NOT NULL) AS lines FROM scan_history) h, (SELECT unnest([1, 2, 3, 4]) AS i) u WHERE u.i <= len(lines)
+UNION ALL SELECT volume_id, 'error', id, 0, strftime(created_at, '%Y-%m-%d %H:%M') || ' - ' || path || ': ' || coalesce(message, '') FROM (SELECT DISTINCT * FROM scan_errors)""",
+        "search_connected": f"WITH s AS ({search('minutes')}), c AS ({CONNECTED}) SELECT s.item_type, s.item_id, s.volume_id, coalesce(c.connected, false) AS connected, c.found_path FROM s LEFT JOIN c ON c.id = s.volume_id",
+        "connected_volumes": CONNECTED,
         "unique_names": f"SELECT {LOW.format('name')} AS folded, count(*) AS n, min(id) AS first_id FROM folders WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "catalogue_info": f"""WITH x AS (SELECT DISTINCT id, missing, {SIZE} AS size FROM files)
 SELECT (SELECT count(*) FROM volumes) AS volume_count, (SELECT coalesce(sum(capacity_bytes), 0)::BIGINT FROM volumes) AS capacity_bytes, (SELECT coalesce(sum(used_bytes), 0)::BIGINT FROM volumes) AS used_bytes,

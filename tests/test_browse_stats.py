@@ -77,6 +77,23 @@ def test_history_is_pruned_by_volume(spark):
     assert [r.id for r in stats.recent_history(scans, 1, 2).collect()] == [210, 208]
 
 
+def test_scan_log(spark):
+    scans = make(spark, "scan_history", [
+        {"id": 1, "volume_id": 1, "started_at": T, "status": "completed", "files_seen": 3, "folders_seen": 2, "files_added": 1, "files_removed": 0, "files_changed": 2, "bytes_before": 1500, "bytes_after": 500},
+        {"id": 2, "volume_id": 1, "started_at": T, "status": "failed", "message": "gone"},
+    ])
+    errors = make(spark, "scan_errors", [{"id": 5, "volume_id": 1, "path": "a/b", "message": "denied", "created_at": T}] * 2)
+    got = [(r.section, r.id, r.line_number, r.line) for r in stats.scan_log(scans, errors).orderBy("section", "id", "line_number").collect()]
+    assert got == [
+        ("error", 5, 0, "2024-01-01 00:00 - a/b: denied"),
+        ("scan", 1, 0, "2024-01-01 00:00 - completed - 3 files, 2 folders, 0 errors"),
+        ("scan", 1, 1, "  Changes: +1 files, -0 files, 2 changed; +0 folders, -0 folders"),
+        ("scan", 1, 2, "  Indexed size: 1.5 KB -> 500 B (-1.0 KB)"),
+        ("scan", 2, 0, "2024-01-01 00:00 - failed - 0 files, 0 folders, 0 errors"),
+        ("scan", 2, 1, "  gone"),
+    ]
+
+
 def test_change_summary(spark):
     before = make(spark, "files", [file(1, 1, "budget", 5), file(2, 1, "report", 5), file(3, 1, "image", 4)])
     after = make(spark, "files", [file(2, 1, "report", 15), file(4, 1, "notes", 3), file(3, 1, "image", 4)])
@@ -127,6 +144,7 @@ def test_register(spark):
     assert [r.id for r in view.collect()] == [2, 3, 1, 4] and view.where("id = 3").first()["master_drive_id"] == "AID-001"
     assert [r.drive_id for r in volumes.natural_order(view).collect()] == ["AID-001", "AID-1250", "AID-1251", "Shelf B"]
     assert [r.id for r in volumes.mirror_dependents(view, 1).collect()] == [3] and [r.id for r in volumes.master_options(view, 1).collect()] == [4, 2]
+    assert [r.id for r in volumes.filter_volumes(view, "RED mirror").collect()] == [3]
     assert [r.id for r in volumes.filter_volumes(view, " blue  AID-1 ").collect()] == [3] and volumes.filter_volumes(view, "").count() == 4
     assert [(r.folded, r.n) for r in volumes.duplicate_names(vols, "name").collect()] == [("red", 2)]
     bad = make(spark, "volume_register", [{"volume_id": 1, "is_mirror": 1, "master_volume_id": 2}, {"volume_id": 2, "is_mirror": 1, "master_volume_id": 1}, {"volume_id": 3, "is_mirror": 1}, {"volume_id": 4, "is_mirror": 1, "master_volume_id": 4}])
