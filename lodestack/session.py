@@ -59,6 +59,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_shared(spark: SparkSession) -> int:
+    """Delete the tables that jobs left in the shared folder, once their results have been written; how many there were."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in system.listStatus(folder) if x.getPath().getName().startswith("lodestack-")]
+    for path in found:
+        system.delete(path, True)
+    return len(found)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable eager checkpoint in the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -33,3 +33,43 @@ def test_the_shared_folder_is_the_sessions(spark):
 
     folder = shared_dir(spark)
     assert shared_dir(spark) == folder and cut_lineage(spark.range(5)).count() == 5
+
+
+def test_tables_left_in_the_shared_folder_can_be_cleaned(spark, monkeypatch, tmp_path):
+    from lodestack import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    spark.range(3).write.parquet(session.shared_path(spark, "x"))
+    (tmp_path / "other").mkdir()
+    assert session.clean_shared(spark) == 1 and [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
+class Unset:
+    """A session without the setting."""
+
+    def __init__(self, master):
+        self.sparkContext = self.conf = self
+        self.master, self.folder = master, None
+
+    def getConf(self):  # noqa: N802
+        return self
+
+    def get(self, *_):
+        return None
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+def test_a_machine_local_folder_is_used_only_in_local_mode():
+    from lodestack.session import shared_dir
+
+    one = Unset("local[4]")
+    assert shared_dir(one) == shared_dir(one) == one.folder
+    os.rmdir(one.folder)
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Unset(master))
