@@ -86,10 +86,11 @@ def reading_levels(docs: DataFrame, doc: str, text: str, grades: DataFrame, rate
     ``level`` is the grade's scale, continuous; a graded document keeps its mean grade. It is null for a text without
     words, for one that shares no node with others, and for all where nothing is graded. ``docs`` holds a document once.
     """
-    held = document_nodes(docs, doc, text).join(mean_grades(grades, doc, rater, grade), doc, "left")
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
-    known = held.agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean")).first()
-    weights = cut_lineage(node_weights(held, max(known["n"], 1)))
+    given = mean_grades(grades, doc, rater, grade)
+    nodes = document_nodes(docs, doc, text)
+    held = nodes.join(given, doc, "left")
+    known = docs.select(doc).join(given, doc, "left").agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean")).first()
+    weights = cut_lineage(node_weights(nodes.select("nodes"), max(known["n"], 1)))
     if known["mean"] is None:
         levels = held.withColumn("level", F.lit(None).cast("double"))
     elif weights.count() <= broadcast_nodes:
