@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of item text in one broadcast block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 # Characters that show nothing and may stand inside a word.
 INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿"
@@ -62,22 +62,25 @@ def word_places(text: str) -> list[tuple[int, int]]:
 
 
 class WindowSet:
-    """The windows of a block of items, by hash."""
+    """The windows of a block of items: per window length their hashes in order, with item and place beside them."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
         self.ids: dict[str, int] = {}
-        self.items = []
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.items: list[tuple[object, np.ndarray]] = []
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
         for key, text in items:
             codes = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)], np.int64)
             if not len(codes):
                 continue
             length = min(n, len(codes))
-            for at, h in enumerate(self.hashes(codes, np.arange(len(codes) - length + 1), length).tolist()):
-                grams[length][h].append((len(self.items), at))
+            places = np.arange(len(codes) - length + 1)
+            parts[length].append((self.hashes(codes, places, length), np.full(len(places), len(self.items)), places))
             self.items.append((key, codes))
-        self.grams = {length: dict(g) for length, g in grams.items()}
-        self.sorted = {length: np.array(sorted(g), np.uint64) for length, g in grams.items()}
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, own in parts.items():
+            h, item, place = map(np.concatenate, zip(*own, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.windows[length] = h[order], item[order], place[order]
 
     @staticmethod
     def hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -90,15 +93,16 @@ class WindowSet:
     def hits(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, start, length) of every verified window in a sequence of codes; 0 is a word of no item."""
         known = np.concatenate([[0], np.cumsum(codes == 0)])
-        for length, grams in self.grams.items():
+        for length, (hashes, items, places) in self.windows.items():
             if len(codes) < length:
                 continue
             starts = np.flatnonzero(known[length:] == known[:-length])
             h = self.hashes(codes, starts, length)
-            at = np.minimum(np.searchsorted(self.sorted[length], h), len(self.sorted[length]) - 1)
-            for i in np.flatnonzero(self.sorted[length][at] == h):
+            low, high = (np.searchsorted(hashes, h, side) for side in ("left", "right"))
+            for i in np.flatnonzero(high > low):
                 window = codes[starts[i] : starts[i] + length]
-                for item, place in grams[int(h[i])]:
+                for j in range(low[i], high[i]):
+                    item, place = int(items[j]), int(places[j])
                     if np.array_equal(self.items[item][1][place : place + length], window):
                         yield item, int(starts[i]), length
 
