@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ DRIVE_ID = r"^AID-(\d{3,})$"
 TIME_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
+def utc(at: datetime | Column | None) -> Column:
+    """A UTC time without zone as a column, whatever zone the session or this machine is in."""
+    if isinstance(at, Column):
+        return at
+    return F.lit(None if at is None else at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def extension_of(name: Column) -> Column:
     """The last suffix of a file name in lower case without its dot; dot-files and a trailing dot have none."""
     return F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.catalogue import utc
 from lodestack.session import cut_lineage
 
 KEY = ["volume_id", "relative_path"]
@@ -44,7 +47,7 @@ def number_rows(df: DataFrame, order: list[str], start: int) -> DataFrame:
 
 def finalize(items: DataFrame, volume_id: int, scanned_at, keep_root: bool = False) -> DataFrame:
     """Without the volume's items that a scan did not see again; the root folder stays if asked."""
-    stale = F.col("scanned_at").isNull() | (F.col("scanned_at") != F.lit(scanned_at))
+    stale = F.col("scanned_at").isNull() | (F.col("scanned_at") != utc(scanned_at))
     if keep_root:
         stale = stale & (F.col("relative_path") != "")
     return items.where(~((F.col("volume_id") == volume_id) & stale))
@@ -63,7 +66,7 @@ def update_volume(volumes: DataFrame, volume_id: int, **values) -> DataFrame:
     ours = F.col("id") == volume_id
     sets = {}
     for name, value in values.items():
-        new = F.lit(value).cast(volumes.schema[name].dataType)
+        new = utc(value) if isinstance(value, datetime) else F.lit(value).cast(volumes.schema[name].dataType)
         sets[name] = F.when(ours, F.coalesce(new, F.col(name)) if name == "last_scan_at" else new).otherwise(F.col(name))
     return volumes.withColumns(sets)
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.catalogue import utc
 from lodestack.session import cut_lineage
 
 
@@ -88,5 +89,5 @@ def with_statistics(folders: DataFrame, files: DataFrame, updated_at) -> DataFra
     names = ["recursive_size_bytes", "recursive_file_count", "recursive_subfolder_count", "direct_file_count", "direct_subfolder_count"]
     fresh = folder_statistics(folders, files).select(F.col("folder_id").alias("id"), *names)
     kept = folders.drop(*names, "stats_updated_at")
-    at = F.when(F.col("direct_file_count").isNotNull(), F.lit(updated_at))
+    at = F.when(F.col("direct_file_count").isNotNull(), utc(updated_at))
     return kept.join(fresh, "id", "left").withColumn("stats_updated_at", at)

@@ -170,7 +170,7 @@ def upsert_files(spark, d):
 
 def finalize_files(spark, d):
     files = table(spark, d, "files")
-    seen = F.when(F.col("id") % 3 == 0, F.lit(SEEN).cast("timestamp_ntz")).otherwise(F.col("scanned_at"))
+    seen = F.when(F.col("id") % 3 == 0, fn.utc(SEEN)).otherwise(F.col("scanned_at"))
     return changes.finalize(files.withColumn("scanned_at", seen), 29, SEEN).select("id", "volume_id", "relative_path").distinct()
 
 

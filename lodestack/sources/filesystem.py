@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestack.functions.catalogue import extension_of, parent_path, wrap_uint64
+from lodestack.functions.catalogue import utc as instant
 
 SCHEMA = "kind string, relative_path string, name string, size_bytes bigint, modified_at timestamp, device decimal(20,0), inode decimal(20,0), error string"
 
@@ -107,9 +108,9 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def scanned_items(tree: DataFrame, volume_id: int, scanned_at) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Folders, files and errors of a tree as rows of a volume. ``parent_path`` names the folder that holds an item."""
-    utc = F.col("modified_at").cast("timestamp_ntz").alias("modified_at")
+    seen = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("modified_at").cast("timestamp_ntz")).alias("modified_at")
     own = [F.lit(volume_id).cast("bigint").alias("volume_id"), "name", "relative_path", parent_path(F.col("relative_path")).alias("parent_path")]
-    rest = [utc, F.lit(0).alias("missing"), F.lit(scanned_at).cast("timestamp_ntz").alias("scanned_at")]
+    rest = [seen, F.lit(0).alias("missing"), instant(scanned_at).alias("scanned_at")]
     folders = tree.where("kind = 'folder'").select(*own, *rest)
     identity = [wrap_uint64(F.col(c)).alias(f"identity_{c}") for c in ("device", "inode")]
     files = tree.where("kind = 'file'").select(*own, extension_of(F.col("name")).alias("extension"), "size_bytes", *rest, *identity)

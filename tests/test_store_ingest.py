@@ -95,6 +95,20 @@ def test_links_are_not_followed_and_hard_links_count_once(spark, tmp_path):
     assert dates.earliest is not None and dates.earliest <= dates.latest
 
 
+def test_times_are_utc_in_any_session_zone(spark, tmp_path):
+    from lodestack.sources.filesystem import scanned_items
+
+    (tmp_path / "a").write_text("x")
+    os.utime(tmp_path / "a", (86400 * 365.0, 86400 * 365.0))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+        r = scanned_items(read_tree(spark, str(tmp_path)), 1, datetime(2024, 1, 1, 5))[1].first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert (r.modified_at, r.scanned_at) == (datetime(1971, 1, 1), datetime(2024, 1, 1, 5))
+
+
 def test_what_cannot_be_read_is_an_error_row(spark, tmp_path):
     got = read_tree(spark, str(tmp_path / "none")).collect()
     assert [r.kind for r in got] == ["error"] and "No such file" in got[0].error
