@@ -104,12 +104,10 @@ def _place(held: DataFrame, named: list[str], level: int, asked: DataFrame | Non
 def distinct_files(files: DataFrame) -> DataFrame:
     """One row per file id; exact copies of rows collapse, on the map side where they meet.
 
-    Rows of one id that aren't exact copies are settled to the smallest struct, so the result is defined. A null id is
-    one file.
+    Rows of one id that aren't exact copies are settled to the smallest value of each column, so the result is defined. A
+    null id is one file.
     """
-    held = F.struct("volume_id", "folder_id", "size_bytes")
-    one = files.groupBy("id").agg(F.min(held).alias("r"))
-    return one.select("id", "r.volume_id", "r.folder_id", "r.size_bytes")
+    return files.groupBy("id").agg(*[F.min(c).alias(c) for c in ("volume_id", "folder_id", "size_bytes")])
 
 
 def keyed_sizes(files: DataFrame) -> DataFrame:
