@@ -32,18 +32,22 @@ GRADED = 100.0
 #: How many times a node for the shape of a text weighs a word that is as frequent.
 SHAPE = 100.0
 
-WORD = r"\p{L}+"
-LONG = r"\p{L}{7,}"
-SENTENCE_END = r"(?U)[.!?](?:\s|$)"
+NO_WORD = r"\P{L}+"
+SENTENCE_END = r"[.!?](?:[\s\u0085\p{Z}]|\z)"
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Words (runs of letters), sentences and words of more than six letters of a text; null has none."""
-    text = F.coalesce(text, F.lit(""))
+def text_words(text: Column) -> Column:
+    """The words of a text, runs of letters, in order; none of null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
+
+
+def readability(text: Column, words: Column) -> dict[str, Column]:
+    """Words, sentences and words of more than six letters of a text with its ``text_words``; null has none."""
+    stretches = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
     return {
-        "n_words": F.regexp_count(text, F.lit(WORD)),
-        "n_sentences": F.size(F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(r"\p{L}"))),
-        "n_long": F.regexp_count(text, F.lit(LONG)),
+        "n_words": F.size(words),
+        "n_sentences": F.size(F.filter(stretches, lambda s: s.rlike(r"\p{L}"))),
+        "n_long": F.size(F.filter(words, lambda w: F.length(w) > 6)),
     }
 
 
@@ -54,8 +58,10 @@ def lix() -> Column:
 
 def document_nodes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc, n_words, n_sentences, n_long, nodes``. A text without words has no nodes."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)))
-    counted = docs.select(doc, *[c.alias(n) for n, c in readability(F.col(text)).items()], found.alias("nodes"))
+    split = docs.select(doc, F.col(text).alias("__text"), text_words(F.col(text)).alias("__words"))
+    counts = readability(F.col("__text"), F.col("__words"))
+    found = F.array_distinct(F.transform(F.array_distinct("__words"), lambda w: F.lower(w)))
+    counted = split.select(doc, *[c.alias(n) for n, c in counts.items()], found.alias("nodes"))
     per_sentence = F.col("n_words") / F.greatest(F.col("n_sentences"), F.lit(1))
     long_share = F.lit(100) * F.col("n_long") / F.col("n_words")
     shape = [F.concat(F.lit(m), F.floor(c / w).cast("string")) for m, c, w in (("#sentence ", per_sentence, 3), ("#long ", long_share, 4), ("#both ", lix(), 4))]
@@ -74,7 +80,9 @@ def node_weights(linked: DataFrame, documents: int) -> DataFrame:
     A node of one document only hands that document's own level back to it and does not move the fixed point, so it
     is left out, like a word that every document has, whose weight is 0.
     """
-    counted = linked.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # The outer form, because for the inner one the optimizer adds a filter that works the nodes out once more.
+    each = linked.select(F.explode_outer("nodes").alias("node"))
+    counted = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 AND node IS NOT NULL")
     idf = F.pow(F.log(F.lit(float(documents)) / F.col("n")), 2)
     weight = F.when(F.col("node").startswith("#"), F.lit(SHAPE) * idf).otherwise(idf)
     return counted.select("node", weight.alias("weight")).where("weight > 0")
