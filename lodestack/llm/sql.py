@@ -96,5 +96,11 @@ SELECT volume_id, extension FROM p JOIN m USING (extension) WHERE own >= 8 * gen
         "p3_found": LOOKALIKES,
         "p6_found": LEAKS,
         "p6_items": f"SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) LEFT JOIN ({LEAKS}) USING (item_id) GROUP BY 1",
+        # Characters stand for tokens: no source lies near the limit, so any measure of size gives the same rows.
+        "p7_found": """
+WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, sum(length(text)) AS n FROM documents GROUP BY 1),
+t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name)))
+SELECT source_name FROM t WHERE target_share * (SELECT sum(n) FROM t) > max_repeats * n
+""",
         "p8_found": DEMANDING,
     }
