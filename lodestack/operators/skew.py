@@ -104,10 +104,11 @@ def _place(held: DataFrame, named: list[str], level: int, asked: DataFrame | Non
 def distinct_files(files: DataFrame) -> DataFrame:
     """One row per file id; exact copies of rows collapse, on the map side where they meet.
 
-    Rows of one id that aren't exact copies are settled to the smallest value of each column, so the result is defined. A
-    null id is one file.
+    Rows of one id that aren't exact copies are settled to the smallest of them, so the result is defined and is a row
+    that was there. A null id is one file.
     """
-    return files.groupBy("id").agg(*[F.min(c).alias(c) for c in ("volume_id", "folder_id", "size_bytes")])
+    smallest = F.min(F.struct("volume_id", "folder_id", "size_bytes")).alias("r")
+    return files.groupBy("id").agg(smallest).select("id", "r.*")
 
 
 def keyed_sizes(files: DataFrame) -> DataFrame:
