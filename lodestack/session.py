@@ -47,9 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; others may work in the shared folder at the same time."""
+    return f"{shared_dir(spark).rstrip('/')}/lodestack-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lodestack-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read from there: worked out once, whoever is lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -60,14 +72,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def clean_shared(spark: SparkSession) -> int:
-    """Delete the tables that jobs left in the shared folder, once their results have been written; how many there were."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [x.getPath() for x in system.listStatus(folder) if x.getPath().getName().startswith("lodestack-")]
-    for path in found:
-        system.delete(path, True)
-    return len(found)
+    """Delete the tables and checkpoints that this application left in the shared folder, once its results have been
+    written; how many there were. What other applications keep there stays."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    own = own_dir(spark)
+    gone = 0
+    # Spark puts an application's checkpoints into a folder of its own below the setting's.
+    for folder, prefix in ((own, ""), (context.getCheckpointDir(), "rdd-")):
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(context._jsc.hadoopConfiguration())
+        if system.exists(place):
+            for status in system.listStatus(place):
+                if status.getPath().getName().startswith(prefix):
+                    system.delete(status.getPath(), True)
+                    gone += 1
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

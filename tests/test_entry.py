@@ -35,13 +35,30 @@ def test_the_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == folder and cut_lineage(spark.range(5)).count() == 5
 
 
-def test_tables_left_in_the_shared_folder_can_be_cleaned(spark, monkeypatch, tmp_path):
+def test_what_an_application_left_can_be_cleaned(spark, monkeypatch, tmp_path):
     from lodestack import session
 
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
-    spark.range(3).write.parquet(session.shared_path(spark, "x"))
+    session.write_once(spark.range(3), "x")
+    session.cut_lineage(spark.range(3))
     (tmp_path / "other").mkdir()
-    assert session.clean_shared(spark) == 1 and [p.name for p in tmp_path.iterdir()] == ["other"]
+    (tmp_path / "lodestack-another-application").mkdir()
+    checkpoints = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert any(n.startswith("rdd-") for n in os.listdir(checkpoints))
+    assert session.clean_shared(spark) >= 2
+    assert not any(n.startswith("rdd-") for n in os.listdir(checkpoints)) and os.listdir(session.own_dir(spark)) == []
+    assert {"other", "lodestack-another-application"} < {p.name for p in tmp_path.iterdir()}
+
+
+def test_a_broken_training_package_leaves_the_rest(tmp_path):
+    """An import inside the subpackage that fails counts as a subpackage that isn't there."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['pyarrow'] = sys.modules['numpy'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p1_found' not in q and 'p1_found' not in e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
 
 
 class Unset:
