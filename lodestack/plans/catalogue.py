@@ -194,7 +194,7 @@ def list_children(spark, d):
 
 
 def list_files(spark, d):
-    return browse.folder_files(table(spark, d, "files").where("folder_id = 449"), 29, 449).select("id", "name", "relative_path")
+    return browse.folder_files(table(spark, d, "files"), 29, 449).select("id", "name", "relative_path")
 
 
 def directory_listing(spark, d):
@@ -219,7 +219,7 @@ def folder_properties(spark, d):
 
 def sizes_shown(spark, d):
     s = F.col("size_bytes")
-    return table(spark, d, "files").where("size_bytes IS NULL OR size_bytes >= 0").select("id", fn.format_size(s).alias("size_text"), fn.display_size(s).alias("shown")).distinct()
+    return table(spark, d, "files").select("id", fn.format_size(s).alias("size_text"), fn.display_size(s).alias("shown")).distinct()
 
 
 def volume_shown(spark, d):

@@ -178,7 +178,7 @@ SELECT id, name, relative_path, CASE WHEN relative_path = '' THEN 0 ELSE len(str
 WHERE volume_id = 29 AND (relative_path = '' OR relative_path = p OR starts_with(p, relative_path || '/'))""",
         "file_properties": f"WITH {FILES} SELECT {file_columns}, o.id AS parent_folder_id, o.name AS parent_folder_name, o.relative_path AS parent_relative_path, {property_case('f.extension')} AS type FROM f JOIN volumes v ON v.id = f.volume_id LEFT JOIN folders o ON o.id = f.folder_id",
         "folder_properties": "SELECT f.id AS item_id, f.volume_id, v.name AS volume_name, f.parent_id, f.name, f.relative_path, f.recursive_size_bytes AS size_bytes, f.recursive_file_count, f.direct_file_count, o.name AS parent_folder_name, 'Folder' AS type FROM folders f JOIN volumes v ON v.id = f.volume_id LEFT JOIN folders o ON o.id = f.parent_id",
-        "sizes_shown": f"SELECT DISTINCT id, {size_text('size_bytes')} AS size_text, CASE WHEN size_bytes IS NULL THEN 'Unknown' ELSE {size_text('size_bytes')} END AS shown FROM files WHERE size_bytes IS NULL OR size_bytes >= 0",
+        "sizes_shown": f"SELECT DISTINCT id, {size_text('size_bytes')} AS size_text, CASE WHEN size_bytes IS NULL THEN 'Unknown' ELSE {size_text('size_bytes')} END AS shown FROM files",
         "volume_shown": f"""WITH {REGISTER} SELECT v.id, CASE WHEN capacity_bytes = 0 THEN 0 ELSE least(100, greatest(0, round_even(used_bytes / capacity_bytes * 100, 0)))::INT END AS percent_full,
   r.drive_id || coalesce(' - ' || nullif(v.name, ''), '') AS reference, format('{{:,}}', indexed_file_count) AS files, source_path || CASE WHEN trim(source_relative_path, '/') IN ('', '.') THEN '' ELSE '/' || trim(source_relative_path, '/') END AS place,
   coalesce(strftime(last_scan_at, '%Y-%m-%d %H:%M'), '-') AS last_scan,
