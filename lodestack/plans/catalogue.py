@@ -142,7 +142,7 @@ def error_counts(spark, d):
     return stats.error_counts(table(spark, d, "scan_errors"))
 
 
-def _last_two(spark, d, back: int) -> DataFrame:
+def last_scans(spark, d, back: int) -> DataFrame:
     """What each volume's last completed scan, or the one before it, found."""
     sequence = snapshots.completed_sequence(table(spark, d, "scan_history"))
     last = sequence.groupBy("volume_id").agg(F.max("position").alias("last"))
@@ -153,7 +153,7 @@ def _last_two(spark, d, back: int) -> DataFrame:
 
 
 def diff_summary(spark, d):
-    return stats.has_changes(stats.change_summary(_last_two(spark, d, 1), _last_two(spark, d, 0), ["volume_id", "relative_path"], ["volume_id"]))
+    return stats.has_changes(stats.change_summary(last_scans(spark, d, 1), last_scans(spark, d, 0), ["volume_id", "relative_path"], ["volume_id"]))
 
 
 def folder_diff(spark, d):
@@ -165,7 +165,7 @@ def folder_diff(spark, d):
 def upsert_files(spark, d):
     """The files table overlaid with what the last completed scans found."""
     current = stats.one_of_each(table(spark, d, "files")).select("id", "volume_id", "relative_path", "size_bytes", "modified_at")
-    return changes.upsert(current, _last_two(spark, d, 0).select("volume_id", "relative_path", "size_bytes", "modified_at"))
+    return changes.upsert(current, last_scans(spark, d, 0).select("volume_id", "relative_path", "size_bytes", "modified_at"))
 
 
 def finalize_files(spark, d):

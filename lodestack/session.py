@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_unnamed(spark: SparkSession, folder: str, named: set[str], hours: float) -> int:
+    """Delete what lies right below a folder, is not named and was last changed at least so many hours ago: what writers
+    left who gave up. The hours must be more than any writer takes from its first file to its publishing."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return 0
+    limit = (time.time() - 3600 * hours) * 1000
+    old = [x.getPath() for x in system.listStatus(place) if x.getPath().getName() not in named and x.getModificationTime() <= limit]
+    for path in old:
+        system.delete(path, True)
+    return len(old)
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file with its whole text at once; False, and nothing changed, if there is one at the path already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    target, draft = fs.Path(path), fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    qualified = [system.makeQualified(p) for p in (draft, target)]
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    options[0] = getattr(fs.Options.Rename, "NONE")
+    try:
+        fs.FileContext.getFileContext(qualified[0].toUri(), conf).rename(*qualified, options)  # fails where the target exists
+    except Exception:  # noqa: BLE001
+        system.delete(draft, False)
+        if not system.exists(target):
+            raise
+        return False
+    return True
+
+
 def clean_shared(spark: SparkSession) -> int:
     """Delete the tables and checkpoints that this application left in the shared folder, once its results have been
     written; how many there were. What other applications keep there stays."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack import schemas
 from lodestack.errors import CatalogueInUse, InvalidCatalogue, UnsupportedCatalogue
+from lodestack.session import create_exclusively
 
 
 class Store:
@@ -75,14 +76,8 @@ class Store:
             if "volume_id" in df.columns and name in ("files", "folders"):
                 writer = df.repartitionByRange("volume_id", "relative_path").sortWithinPartitions("volume_id", "relative_path").write
             writer.parquet(folders[name])
-        target = self._at(f"{self.path}/_versions/{base + 1}")
-        self._fs.mkdirs(target.getParent())
-        try:
-            out = self._fs.create(target, False)
-        except Exception as error:
-            raise CatalogueInUse(f"version {base + 1} of {self.path} was published by another writer") from error
-        out.write(bytearray(json.dumps({"schema": schema, "tables": folders}).encode()))
-        out.close()
+        if not create_exclusively(self.spark, f"{self.path}/_versions/{base + 1}", json.dumps({"schema": schema, "tables": folders})):
+            raise CatalogueInUse(f"version {base + 1} of {self.path} was published by another writer")
         return self.tables(base + 1)
 
     def count_rows(self, name: str) -> int:
