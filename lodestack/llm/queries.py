@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions.catalogue import extension_of, last_segment
 from lodestack.functions.text import clean_extension, strip
 from lodestack.llm import leakage, lookalikes, mixing, percentiles, reading_level, terms
+from lodestack.operators import snapshots
+from lodestack.plans import catalogue
+from lodestack.session import shared_path, write_once
 from lodestack.sources.tables import table
 
 SHARES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
 
 def _extension_counts(spark: SparkSession, d: str) -> DataFrame:
-    month = (F.year("scanned_at") * 12 + F.month("scanned_at")).cast("int")
-    return terms.count_deliveries(table(spark, d, "files"), F.col("id"), clean_extension(F.col("extension")), month)
+    """The files of the last month (by ``scanned_at``) are an increment to the counts of all before."""
+    files = table(spark, d, "files")
+    since = files.agg(F.date_trunc("month", F.max("scanned_at")).cast("timestamp_ntz").alias("m")).first()["m"]
+    return terms.load_and_increment(files, F.col("id"), clean_extension(F.col("extension")), "scanned_at", since)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +35,22 @@ def p1_extension_counts(spark: SparkSession, d: str) -> DataFrame:
     return marked.select(F.col("term").alias("extension"), F.col("occurrences").alias("row_count"), F.col("records").alias("file_count"), "mark")
 
 
+def p1_after_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Extensions of what the volumes' scans before the last found, moved on by what the last scans changed.
+
+    Only the files that a scan added, removed or changed are aggregated; those removed count with a minus.
+    """
+    record, extension = F.struct("volume_id", "relative_path"), clean_extension(extension_of(last_segment(F.col("relative_path"))))
+    store = terms.TermCounts(spark, shared_path(spark, "terms"))
+    store.apply("before", None, catalogue.last_scans(spark, d, 1), record, extension)
+    sequence = snapshots.completed_sequence(table(spark, d, "scan_history"))
+    last = sequence.groupBy("volume_id").agg(F.max("position").alias("position"))
+    moved = snapshots.scan_changes(table(spark, d, "file_snapshots"), table(spark, d, "scan_history")).join(sequence.join(last, ["volume_id", "position"]).select("scan_id"), "scan_id")
+    moved = write_once(moved.select("volume_id", "relative_path", "change_type"), "changes")
+    store.apply("last", moved.where("change_type <> 'added'"), moved.where("change_type <> 'removed'"), record, extension)
+    return store.counts().where("level = 'term'").select(F.col("term").alias("extension"), F.col("records").alias("file_count"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files").where("size_bytes >= 0")
     return files.select("id", "volume_id", clean_extension(F.col("extension")).alias("extension"), "size_bytes")
@@ -128,5 +150,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_extension_counts, p2_found, p2_percentiles, p3_found, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_selection, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_selection, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}

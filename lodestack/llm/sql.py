@@ -15,6 +15,17 @@ SELECT extension, row_count, file_count,
 FROM c, n
 """
 
+# A volume with one completed scan only has nothing before its last one, so that scan changes nothing.
+AFTER_SCANS = """
+WITH h AS (SELECT id AS scan_id, volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY started_at DESC, id DESC) AS back,
+                  count(*) OVER (PARTITION BY volume_id) AS n FROM scan_history WHERE status = 'completed'),
+s AS (SELECT volume_id, relative_path FROM (
+        SELECT t.*, row_number() OVER (PARTITION BY t.scan_id, t.relative_path ORDER BY t.scanned_at DESC) AS r
+        FROM file_snapshots t JOIN h USING (scan_id) WHERE back = 1 AND n > 1) WHERE r = 1 AND missing <> 1)
+SELECT * FROM (SELECT nullif(ltrim(lower(trim(regexp_extract(string_split(relative_path, '/')[-1], '(?s)^.+\\.([^.]+)$', 1))), '.'), '') AS extension, count(*) AS file_count
+FROM s GROUP BY 1) WHERE extension IS NOT NULL
+"""
+
 SIZED = f"f AS (SELECT DISTINCT id, volume_id, {EXTENSION} AS extension, size_bytes FROM files WHERE size_bytes >= 0)"
 
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -86,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT extension, mark FROM ({COUNTS}) WHERE mark IS NOT NULL",
         "p1_extension_counts": COUNTS,
+        "p1_after_scans": AFTER_SCANS,
         "p2_found": f"""
 WITH {SIZED}, e AS (SELECT * FROM f WHERE extension IS NOT NULL),
 m AS (SELECT extension, quantile_disc(size_bytes, 0.5) AS general FROM e GROUP BY 1),

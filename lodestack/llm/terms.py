@@ -7,148 +7,161 @@ that is partitioned by a hash of the term. Deliveries that touch few terms rewri
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestack.session import drop_path, parallelism, shared_path
+from lodestack.session import create_exclusively, delete_unnamed, drop_path, shared_path
 
-#: The state: one row per term, and one with level ``all`` for all records with or without a term.
-STATE = T.StructType(
-    [
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("level", T.StringType()),
-        T.StructField("term", T.StringType()),
-        T.StructField("occurrences", T.LongType()),
-        T.StructField("records", T.LongType()),
-    ]
-)
+#: A count's columns: one row per term, and one with level ``all`` for all records with or without a term.
+COUNTS = "level string, term string, occurrences bigint, records bigint"
+#: Partitions of a new store.
+BUCKETS = 16
+#: Versions whose folders are kept, so that whoever reads a former one can finish.
+KEPT_VERSIONS = 2
 
 
-def record_terms(rows: DataFrame, record: Column, term: Column, delivery: Column) -> DataFrame:
-    """``record, delivery, term, n``: how often each record holds a term in the version that a delivery brings.
-
-    Copies of a row meet on the map side and become one row with a count. A null term is kept: the record exists
-    although it holds none. A null record is one record; a null delivery comes first.
-    """
-    named = rows.select(record.alias("record"), delivery.alias("delivery"), term.alias("term"))
-    return named.groupBy("record", "delivery", "term").agg(F.count(F.lit(1)).alias("n"))
+class StoreConflict(RuntimeError):
+    """Other writers kept publishing first."""
 
 
-def signed_changes(versions: DataFrame) -> DataFrame:
-    """``delivery, level, term, d_n, d_in``: signed changes from each version of a record to the next.
+def signed_changes(before: DataFrame | None, after: DataFrame | None, record: Column, term: Column) -> DataFrame:
+    """``level, term, d_occurrences, d_records`` of a delivery, from the changed records only.
 
-    A record delivered once contributes plus its terms. One delivered again contributes, at the later delivery, minus
-    what it held and plus what it holds, so a term held both times cancels to the difference. A version that deletes
-    the record is one whose only row has ``n`` = 0. The level ``all`` counts each record once, whatever it holds, on
-    the first of its rows. The windows hold the versions of one record only, after copies have been collapsed.
+    ``before`` holds all rows that the changed and deleted records had, ``after`` those that the changed and added ones
+    have; a record held both times contributes the difference. Copies of a row meet on the map side, per record and term
+    and then per term, so no record and no term is brought into one task. The level ``all`` counts each record once,
+    whatever it holds, and every row. A null term belongs to no term row; a null record is one record.
     """
-    named = versions.withColumn("delivery", F.struct("delivery"))
-    first = F.row_number().over(Window.partitionBy("record", "delivery").orderBy(F.col("term").asc_nulls_first())) == 1
-    all_of = F.array_sort(F.collect_set("delivery").over(Window.partitionBy("record")))
-    placed = named.select("*", first.alias("first"), all_of.alias("all_of"))
-    later = F.get(F.filter("all_of", lambda d: d > F.col("delivery")), F.lit(0))
-
-    def change(delivery: Column, level: str, sign: int) -> Column:
-        there = F.when(F.col("n") > 0, sign).otherwise(0)
-        counts = there if level == "term" else F.when(F.col("first"), there).otherwise(0)
-        term = F.col("term") if level == "term" else F.lit(None).cast("string")
-        return F.struct(
-            delivery["delivery"].alias("delivery"),
-            F.lit(level).alias("level"),
-            term.alias("term"),
-            (F.col("n") * sign).alias("d_n"),
-            counts.alias("d_in"),
-        )
-
-    held = F.col("term").isNotNull()
-    moves = F.array(
-        F.when(held, change(F.col("delivery"), "term", 1)),
-        change(F.col("delivery"), "all", 1),
-        F.when(held & F.col("later").isNotNull(), change(F.col("later"), "term", -1)),
-        F.when(F.col("later").isNotNull(), change(F.col("later"), "all", -1)),
-    )
-    moved = placed.withColumn("later", later).select(F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
-    return moved.select("m.*")
-
-
-def term_deltas(changes: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, delivery, level, term, d_occurrences, d_records``: the changes summed per delivery and term."""
-    sums = changes.groupBy("delivery", "level", "term")
-    deltas = sums.agg(F.sum("d_n").cast("bigint").alias("d_occurrences"), F.sum("d_in").cast("bigint").alias("d_records"))
-    return deltas.select(bucket_of(buckets).alias("bucket"), "*")
-
-
-def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("level", "term"), F.lit(buckets)).cast("int")
-
-
-def merge_counts(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    sides = [(before, -1), (after, 1)]
+    rows = [df.select(record.alias("record"), term.alias("term"), F.lit(sign).alias("sign")) for df, sign in sides if df is not None]
+    held = rows[0].unionByName(rows[1]) if len(rows) == 2 else rows[0]
+    held = held.groupBy("record", "sign", "term").agg(F.count(F.lit(1)).alias("n"))
+    signed = lambda c: F.sum(c).cast("bigint")
+    sums = [signed(F.col("n") * F.col("sign")).alias("d_occurrences"), signed(F.col("sign")).alias("d_records")]
+    terms = held.where("term IS NOT NULL").groupBy("term").agg(*sums).select(F.lit("term").alias("level"), "term", "d_occurrences", "d_records")
+    records = held.groupBy("record", "sign").agg(F.sum("n").alias("n")).groupBy().agg(*sums)
+    everything = records.where("d_records IS NOT NULL").select(F.lit("all").alias("level"), F.lit(None).cast("string").alias("term"), "d_occurrences", "d_records")
+    return terms.unionByName(everything).where("d_occurrences <> 0 OR d_records <> 0")
+
+
+def merge_counts(state: DataFrame, deltas: DataFrame) -> DataFrame:
     """The counts after the deltas. Terms that no record holds any more disappear."""
-    moved = deltas.select("bucket", "level", "term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records"))
-    both = moved if state is None else state.select(*moved.columns).unionByName(moved)
-    summed = both.groupBy("bucket", "level", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    moved = deltas.select("level", "term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records"))
+    both = state.select(*moved.columns).unionByName(moved)
+    summed = both.groupBy("level", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return summed.where("occurrences <> 0 OR records <> 0")
 
 
 class TermCounts:
-    """Persistent counts in a folder: ``counts/v<i>`` partitioned by bucket, with a row per merged delivery beside them.
-
-    A merge writes the touched buckets as a new folder and then adds a line to the manifest, so a job that dies leaves
-    the former counts. A delivery that was merged before is ignored, so a repeated job does not count twice.
+    """Persistent counts in a folder, partitioned by a hash of the term.
+
+    A version is one small file that names the folder of every partition, the number of partitions and the deliveries
+    merged so far. It is created exclusively, so of two writers who start from the same version one publishes and the
+    other merges again from what was published; neither's counts are lost. A job that dies leaves the former version.
+    A delivery that was merged before is ignored, so a repeated job does not count twice. The number of partitions
+    belongs to the store and not to the session; opening it with another is an error. Folders that no kept version
+    names are deleted after a merge.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.folders: dict[int, str] = {}
-        self.merged: set[str] = set()
-        self.version = 0
-        if self._exists(f"{path}/manifest"):
-            rows = spark.read.json(f"{path}/manifest", schema="version int, bucket int, folder string, delivery string").collect()
-            for r in sorted(rows, key=lambda r: r.version):
-                self.version = max(self.version, r.version)
-                if r.bucket is not None:
-                    self.folders[r.bucket] = r.folder
-                if r.delivery is not None:
-                    self.merged.add(r.delivery)
-
-    def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._asked = buckets
+        self.reload()
+
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _names(self, folder: str) -> list[str]:
+        place = self._at(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(place)] if self._fs.exists(place) else []
+
+    def _read(self, version: int) -> dict:
+        stream = self._fs.open(self._at(f"{self.path}/versions/{version}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def reload(self) -> None:
+        """Look at the last published version."""
+        self.version = max([int(n) for n in self._names("versions") if n.isdigit()], default=0)
+        held = self._read(self.version) if self.version else {"buckets": self._asked or BUCKETS, "folders": {}, "merged": []}
+        self.buckets: int = held["buckets"]
+        if self._asked not in (None, self.buckets):
+            raise ValueError(f"{self.path} has {self.buckets} partitions, not {self._asked}")
+        self.folders: dict[int, str] = {int(b): f for b, f in held["folders"].items()}
+        self.merged: set[str] = set(held["merged"])
 
     def counts(self, only: list[int] | None = None) -> DataFrame:
-        """The current counts; of some buckets only, the other partitions are not read."""
-        by_folder: dict[str, list[int]] = {}
-        for b, folder in self.folders.items():
-            if only is None or b in only:
-                by_folder.setdefault(folder, []).append(b)
-        parts = [self.spark.read.schema(STATE).parquet(f).where(F.col("bucket").isin(bs)) for f, bs in by_folder.items()]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], STATE)
-
-    def merge(self, deltas: DataFrame, delivery: str) -> "TermCounts":
-        """Merge one delivery's deltas (of ``term_deltas``; several of its own deliveries are merged together)."""
-        if delivery in self.merged:
-            return self
-        # The deltas are written once and read twice: for the touched buckets (at most `buckets` values) and the merge.
-        staged = f"{self.path}/delta-{self.version + 1}"
-        deltas.write.mode("overwrite").parquet(staged)
-        deltas = self.spark.read.parquet(staged)
-        touched = [r.bucket for r in deltas.select("bucket").distinct().collect()]
-        folder = f"{self.path}/counts/v{self.version + 1}"
-        state = self.counts(touched) if self.folders else None
-        merged = merge_counts(state, deltas)
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        lines = [(self.version + 1, b, folder, None) for b in touched] + [(self.version + 1, None, None, delivery)]
-        rows = self.spark.createDataFrame(lines, "version int, bucket int, folder string, delivery string")
-        rows.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        drop_path(self.spark, staged)
-        self.version += 1
-        self.merged.add(delivery)
-        self.folders |= dict.fromkeys(touched, folder)
+        """The current counts; of some partitions only, the others are not read."""
+        paths = [f"{self.path}/{f}/bucket={b}" for b, f in self.folders.items() if only is None or b in only]
+        return self.spark.read.schema(COUNTS).parquet(*paths) if paths else self.spark.createDataFrame([], COUNTS)
+
+    def bucket_of(self) -> Column:
+        return F.pmod(F.xxhash64("level", "term"), F.lit(self.buckets)).cast("int")
+
+    def apply(self, delivery: str, before: DataFrame | None, after: DataFrame | None, record: Column, term: Column) -> "TermCounts":
+        """Merge a delivery given as the rows of its records before and after."""
+        return self if delivery in self.merged else self.merge(signed_changes(before, after, record, term), delivery)
+
+    def merge(self, deltas: DataFrame, delivery: str, attempts: int = 10) -> "TermCounts":
+        """Merge one delivery's deltas (of ``signed_changes``)."""
+        if not self.version and not self._publish({}, set()):  # the number of partitions is settled first
+            self.reload()
+        staged = f"deltas/{uuid.uuid4().hex}"
+        deltas.withColumn("bucket", self.bucket_of()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{staged}")
+        touched = sorted(int(n.partition("=")[2]) for n in self._names(staged) if n.startswith("bucket="))
+        kind = "level string, term string, d_occurrences bigint, d_records bigint"
+        for _ in range(attempts):
+            if delivery in self.merged:
+                break
+            folder = f"counts/{uuid.uuid4().hex}"
+            folders = dict(self.folders)
+            if touched:
+                moved = self.spark.read.schema(kind).parquet(*[f"{self.path}/{staged}/bucket={b}" for b in touched])
+                merged = merge_counts(self.counts(touched), moved).withColumn("bucket", self.bucket_of())
+                merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+                filled = {int(n.partition("=")[2]) for n in self._names(folder) if n.startswith("bucket=")}
+                folders = {b: f for b, f in folders.items() if b not in touched} | dict.fromkeys(filled, folder)
+            if self._publish(folders, self.merged | {delivery}):
+                drop_path(self.spark, f"{self.path}/{staged}")
+                self._drop_versions()
+                return self
+            drop_path(self.spark, f"{self.path}/{folder}")
+            self.reload()
+        drop_path(self.spark, f"{self.path}/{staged}")
+        if delivery not in self.merged:
+            raise StoreConflict(f"{delivery} could not be merged into {self.path}")
         return self
 
+    def _publish(self, folders: dict[int, str], merged: set[str]) -> bool:
+        """Whether the next version could be created; another writer may have been first."""
+        text = json.dumps({"buckets": self.buckets, "folders": folders, "merged": sorted(merged)})
+        if not create_exclusively(self.spark, f"{self.path}/versions/{self.version + 1}", text):
+            return False
+        self.version, self.folders, self.merged = self.version + 1, folders, merged
+        return True
+
+    def _drop_versions(self) -> None:
+        """Delete old versions and the count folders that only they named."""
+        old = sorted(int(n) for n in self._names("versions") if n.isdigit() and int(n) <= self.version - KEPT_VERSIONS)
+        if old:
+            kept = set().union(*[set(self._read(v)["folders"].values()) for v in range(old[-1] + 1, self.version + 1)])
+            for folder in set().union(*[set(self._read(v)["folders"].values()) for v in old]) - kept:
+                drop_path(self.spark, f"{self.path}/{folder}")
+            for v in old:
+                drop_path(self.spark, f"{self.path}/versions/{v}")
+
+    def vacuum(self, hours: float = 48) -> int:
+        """Delete the folders of merges that died: those that no version names and that are older than the hours."""
+        named = set().union(*[set(self._read(int(n))["folders"].values()) for n in self._names("versions") if n.isdigit()])
+        gone = delete_unnamed(self.spark, f"{self.path}/counts", {f.rpartition("/")[2] for f in named}, hours)
+        return gone + delete_unnamed(self.spark, f"{self.path}/deltas", set(), hours)
+
 
 def mark_terms(counts: DataFrame, least_records: int = 5, most_share: float = 0.1) -> DataFrame:
     """``term, occurrences, records, mark``: ``rare`` below ``least_records`` records, ``common`` above the share of all
@@ -160,21 +173,16 @@ def mark_terms(counts: DataFrame, least_records: int = 5, most_share: float = 0.
     return counts.where("level = 'term'").select("term", "occurrences", "records", mark.alias("mark"))
 
 
-def count_deliveries(rows: DataFrame, record: Column, term: Column, delivery: Column, buckets: int | None = None) -> DataFrame:
-    """Counts of a table that arrived in deliveries, through the persistent store.
+def load_and_increment(rows: DataFrame, record: Column, term: Column, delivered: str, since) -> DataFrame:
+    """Counts of a table through a store: all rows delivered before ``since`` as the first load, the rest as an increment.
 
-    The signed changes of all deliveries are aggregated in one pass into a log, which has one row per delivery and term.
-    Everything before the last delivery is merged as the first load; the last one is merged as an increment and rewrites
-    the partitions of its own terms only. ``delivery`` should be coarse (a day, a month); null comes first.
+    A record in the increment replaces what it held before, all its earlier rows, which are found by its id and count
+    with a minus. A null in the column ``delivered`` is before. The store lies in the shared folder.
     """
     spark = rows.sparkSession
-    buckets = buckets or max(16, parallelism(spark))
-    store = TermCounts(spark, shared_path(spark, "terms"), buckets)
-    staged = shared_path(spark, "deltas")
-    term_deltas(signed_changes(record_terms(rows, record, term, delivery)), buckets).write.parquet(staged)
-    log = spark.read.parquet(staged)
-    last = log.agg(F.max("delivery").alias("last")).first()["last"]
-    increment = F.col("delivery").eqNullSafe(F.lit(last))
-    store.merge(log.where(~increment), "load").merge(log.where(increment), "increment")
-    drop_path(spark, staged)
-    return store.counts()
+    store = TermCounts(spark, shared_path(spark, "terms"))
+    late = rows.where(F.col(delivered) >= F.lit(since))
+    early = rows.where(F.coalesce(F.col(delivered) < F.lit(since), F.lit(True)))
+    replaced = late.select(record.alias("__again")).distinct()
+    before = early.join(replaced, record.eqNullSafe(F.col("__again")), "left_semi")
+    return store.apply("load", None, early, record, term).apply("increment", before, late, record, term).counts()
