@@ -128,24 +128,32 @@ def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.chosen_documents(lengths, plan, "doc_id", seed=7)
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_grades"), "rater", "grade")
+def _levels(spark: SparkSession, d: str, within: float = reading_level.WITHIN) -> DataFrame:
+    return reading_level.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_grades"), "rater", "grade", within=within)
+
+
+#: Level from which a document may be demanding. Levels of documents that are lie far above (see the README).
+CANDIDATE_LEVEL = 2.5
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """The operator's rows whose words, sentences and long words are those of a demanding text."""
-    return _levels(spark, d).where("n_words >= 40 AND lix >= 55").select("doc_id")
+    """Documents of a high level, checked exactly by words, sentences and long words.
+
+    Documents whose level says nothing about their text (graded by a person, or linked to no other) are checked too.
+    """
+    candidates = _levels(spark, d).where((F.col("level") >= CANDIDATE_LEVEL) | F.col("level").isNull() | F.col("graded"))
+    return candidates.where("n_words >= 40 AND lix >= 55").select("doc_id")
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d).select("doc_id", F.round("level", 2).alias("level"), "graded", "n_words", F.round("lix", 2).alias("lix"))
+    return _levels(spark, d, 1e-5).select("doc_id", F.round("level", 2).alias("level"), "graded", "n_words", F.round("lix", 2).alias("lix"), "converged")
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents by source, language and whole level."""
     key = lambda c: F.lower(strip(F.col(c))).alias(c)
     docs = table(spark, d, "documents").select("doc_id", key("source"), key("lang"))
-    levels = _levels(spark, d).select("doc_id", F.round("level").cast("int").alias("level"))
+    levels = _levels(spark, d, 1e-5).select("doc_id", F.round("level").cast("int").alias("level"))
     return docs.join(levels, "doc_id").groupBy("source", "lang", "level").agg(F.count(F.lit(1)).alias("documents"))
 
 

@@ -93,6 +93,28 @@ SELECT doc_id FROM c WHERE words >= 40 AND words / sentences + 100.0 * longs / w
 """
 
 
+# Plain rounds, which need many more than the operator takes, until nothing moves in the digits that are shown.
+LEVELS = r"""
+WITH RECURSIVE c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\pL+') AS w,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[.!?](\s|\pZ|$)'), lambda s: regexp_matches(s, '\pL'))) AS sentences FROM documents),
+m AS (SELECT doc_id, len(w) AS n_words, sentences, len(list_filter(w, lambda x: length(x) > 6)) AS longs, list_distinct(list_transform(w, lambda x: lower(x))) AS nodes FROM c),
+x AS (SELECT *, n_words / greatest(sentences, 1) AS per, 100 * longs / n_words AS share FROM m),
+d AS (SELECT doc_id, n_words, per + share AS lix, CASE WHEN n_words > 0 THEN nodes || ['#sentence ' || floor(per / 3)::BIGINT, '#long ' || floor(share / 4)::BIGINT, '#both ' || floor((per + share) / 4)::BIGINT] ELSE [] END AS nodes FROM x),
+g AS (SELECT doc_id, avg(grade) AS grade FROM (SELECT doc_id, avg(grade) AS grade FROM doc_grades WHERE grade IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id, lower(trim(rater))) GROUP BY 1),
+k AS (SELECT count(*) AS docs, avg(grade) AS mean FROM d LEFT JOIN g USING (doc_id)),
+e AS (SELECT doc_id, grade, unnest(nodes) AS node FROM d LEFT JOIN g USING (doc_id)),
+n AS (SELECT * FROM (SELECT node, CASE WHEN starts_with(node, '#') THEN 100.0 ELSE 1.0 END * ln(any_value(docs)::DOUBLE / count(*)) ** 2 AS weight, count(*) - count(grade) + 100.0 * count(grade) AS total,
+        100.0 * coalesce(sum(grade), 0) AS given FROM e, k GROUP BY 1 HAVING count(*) >= 2) WHERE weight > 0),
+l AS MATERIALIZED (SELECT doc_id, grade, node, weight FROM e JOIN n USING (node)),
+s AS (SELECT 0 AS round, node, weight, total, given, mean AS score FROM n, k
+  UNION ALL SELECT s.round + 1, s.node, s.weight, s.total, s.given, (coalesce(q.part, 0) + s.given + 0.05 * k.mean * s.total) / (1.05 * s.total)
+  FROM s LEFT JOIN (SELECT l.node, sum(v.level) AS part FROM l JOIN (SELECT l.doc_id, sum(l.weight * s.score) / sum(l.weight) AS level FROM l JOIN s USING (node) WHERE l.grade IS NULL GROUP BY 1) v USING (doc_id) GROUP BY 1) q USING (node), k
+  WHERE s.round < 400),
+f AS (SELECT l.doc_id, sum(l.weight * s.score) / sum(l.weight) AS level FROM l JOIN s USING (node) WHERE s.round = 400 GROUP BY 1),
+r AS (SELECT d.doc_id, coalesce(g.grade, f.level) AS level, g.grade IS NOT NULL AS graded, d.n_words::INT AS n_words, CASE WHEN d.n_words > 0 THEN d.lix END AS lix FROM d LEFT JOIN g USING (doc_id) LEFT JOIN f USING (doc_id))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT extension, mark FROM ({COUNTS}) WHERE mark IS NOT NULL",
@@ -115,4 +137,7 @@ t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0) AS n FROM mi
 SELECT source_name FROM t WHERE target_share * (SELECT sum(n) FROM t) > max_repeats * n
 """,
         "p8_found": DEMANDING,
+        "p8_levels": f"{LEVELS} SELECT doc_id, round(level, 2) AS level, graded, n_words, round(lix, 2) AS lix, true AS converged FROM r",
+        "p8_profile": f"""{LEVELS} SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, lower(regexp_replace(lang, '^\\s+|\\s+$', '', 'g')) AS lang, round(level)::INT AS level, count(*) AS documents
+FROM r JOIN documents USING (doc_id) GROUP BY 1, 2, 3""",
     }

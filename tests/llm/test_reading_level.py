@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -57,23 +58,55 @@ def test_held_out_grades_are_predicted(spark):
     assert own < 0.5 * np.mean([abs(mean - g) for *_, g in hidden])
 
 
-def test_joined_and_broadcast_scores_agree(spark):
+@pytest.mark.parametrize("hot", [0, 5, 10_000])
+def test_joined_and_broadcast_scores_agree(spark, hot):
     docs, grades, _ = corpus(3, 60)
-    a, b = levels(spark, docs, grades, rounds=4), levels(spark, docs, grades, rounds=4, broadcast_nodes=0)
+    a, b = levels(spark, docs, grades, within=0.1), levels(spark, docs, grades, within=0.1, broadcast_nodes=0, hot_nodes=hot)
     assert {i: r.level for i, r in a.items()} == pytest.approx({i: r.level for i, r in b.items()})
+    assert {i: r.error_bound for i, r in a.items()} == pytest.approx({i: r.error_bound for i, r in b.items()})
 
 
-def test_the_fixed_point_is_harmonic(spark):
+def test_the_fixed_point_is_harmonic(spark, monkeypatch):
+    monkeypatch.setattr(rl, "PACK", 7)
     docs, grades, _ = corpus(5, 40)
-    got = levels(spark, docs, grades, rounds=200, still=1e-10)
+    got = levels(spark, docs, grades, within=1e-9)
+    assert all(r.converged and r.error_bound <= 1e-9 for r in got.values())
     held = {r.doc_id: r.nodes for r in rl.document_nodes(spark.createDataFrame(docs, DOCS), "doc_id", "text").collect()}
-    weights = {r.node: r.weight for r in rl.node_weights(spark.createDataFrame([(list(n),) for n in held.values()], "nodes array<string>"), len(docs)).collect()}
+    linked = [(list(n), got[i].level if got[i].graded else None) for i, n in held.items()]
+    weights = {r.node: r.weight for r in rl.node_weights(spark.createDataFrame(linked, "nodes array<string>, grade double"), len(docs)).collect()}
     times = {i: rl.GRADED if got[i].graded else 1.0 for i in held}
-    score = {n: np.average([got[i].level for i in held if n in held[i]], weights=[times[i] for i in held if n in held[i]]) for n in weights}
+    mean = np.mean([r.level for r in got.values() if r.graded])
+    score = {}
+    for n in weights:
+        own = [i for i in held if n in held[i]]
+        total = sum(times[i] for i in own)
+        score[n] = (sum(got[i].level * times[i] for i in own) + rl.PRIOR * total * mean) / (total * (1 + rl.PRIOR))
     for i, nodes in held.items():
         if not got[i].graded:
             known = [n for n in nodes if n in weights]
-            assert got[i].level == pytest.approx(sum(weights[n] * score[n] for n in known) / sum(weights[n] for n in known), abs=1e-6)
+            assert got[i].level == pytest.approx(sum(weights[n] * score[n] for n in known) / sum(weights[n] for n in known), abs=1e-7)
+
+
+@pytest.mark.parametrize("broadcast_nodes", [0, 1_000_000])
+def test_the_bound_holds_and_an_early_end_is_said(spark, broadcast_nodes):
+    docs, grades, _ = corpus(6, 80)
+    true = levels(spark, docs, grades, within=1e-8)
+    for within, most in ((0.05, None), (0.01, 3)):
+        got = levels(spark, docs, grades, within=within, most_rounds=most, broadcast_nodes=broadcast_nodes)
+        assert max(abs(got[i].level - true[i].level) for i in got) <= got[0].error_bound
+        assert {r.converged for r in got.values()} == {most is None} and (got[0].error_bound <= within) == (most is None)
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_held_out_grades_of_the_test_data(spark):
+    from lodestack.llm.heldout import held_out
+
+    found = held_out(spark, DATA)
+    assert found["documents"] > 100 and found["error"] < 0.4 and found["error"] < 0.5 * found["mean_error"]
+    assert found["correlation"] > 0.85 and found["correlation"] > found["line_correlation"]
 
 
 def test_nulls_empty_and_long_texts(spark):
