@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm.characters import INVISIBLE, as_class
+
 #: Characters of item text in one broadcast block.
 BLOCK_CHARS = 4_000_000
 
-# Characters that show nothing and may stand inside a word.
-INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿"
-WORD = re.compile(rf"(?:[^\W_]|[̀-ͯ{INVISIBLE}])+")
-UNSEEN = re.compile(rf"[{INVISIBLE}]+")
+NOTHING = as_class(INVISIBLE)
+WORD = re.compile(rf"(?:[^\W_]|[\u0300-\u036f{NOTHING}])+")
+UNSEEN = re.compile(rf"[{NOTHING}]+")
+#: Markup as it is read: tags with a name of up to 16 letters and digits, entities of up to 8 letters. Longer ones are words.
 MARKUP = re.compile(
     r"""</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>"""
     r"|&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
@@ -42,7 +44,7 @@ def _open(text: str) -> str:
 def _word(raw: str) -> str:
     """The word as it is compared; empty where a run shows nothing."""
     if raw.isascii():
-        return raw.lower()
+        return UNSEEN.sub("", raw).lower()
     return unicodedata.normalize("NFC", UNSEEN.sub("", raw)).lower()
 
 
@@ -51,7 +53,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     text = _open(text)
-    if text.isascii():
+    if text.isascii() and not UNSEEN.search(text):
         return WORD.findall(text.lower())
     return [w for w in map(_word, WORD.findall(text)) if w]
 

@@ -6,12 +6,14 @@ character stands for the set of scripts that have a letter of its shape, the set
 the token is spelled in the script that remains, Latin first. A token whose characters agree on no script (a mix that
 no script can spell) takes the Latin letter wherever there is one. Case, accents, digits, the number of blanks and
 all other signs stay as they are, so what looks different stays different.
+
+Letters count as alike where common type draws the same shape. Small Greek letters that only resemble a Latin one
+(alpha, iota, kappa, rho, upsilon and the like) and Cyrillic ones drawn smaller (ve, ka, en) do not.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,19 +23,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters with the same shape as the Latin letter under them.
-LATIN_1 = "ABCEHIJKMOPSTXYaceijopsxyhqdw"
-CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԛԁԝ"
-LATIN_2 = "ABEZHIKMNOPTYXov"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον"
+from lodestack.llm.characters import BLANK, INVISIBLE
+from lodestack.session import write_once
+
+# Letters with the same shape as the Latin letter over them. Of two letters with one shape in a script the
+# first is the one that tokens are spelled with.
+LATIN_1 = "ABCEHIJKMOPSTXYaceijopsxyhqdwQWGVvIlYy"
+CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԛԁԝԚԜԌѴѵӀӏҮү"
+LATIN_2 = "ABEZHIKMNOPTYXovCcJj"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϹϲͿϳ"
 
 SHAPE = dict(zip(CYRILLIC, LATIN_1, strict=True)) | dict(zip(GREEK, LATIN_2, strict=True))
-SPELLING = {"cyrillic": dict(zip(LATIN_1, CYRILLIC, strict=True)), "greek": dict(zip(LATIN_2, GREEK, strict=True))}
+SPELLING = {"cyrillic": dict(zip(reversed(LATIN_1), reversed(CYRILLIC), strict=True)), "greek": dict(zip(LATIN_2, GREEK, strict=True))}
 TO_LATIN = str.maketrans(SHAPE)
 TO_SCRIPT = {script: str.maketrans(letters) for script, letters in SPELLING.items()}
 
-#: Default-ignorable characters that are not in the category Cf.
-INVISIBLE_OTHERS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]
+#: Groups of equal-looking texts up to which their hashes are broadcast (24 bytes each); beyond, they are joined.
+BROADCAST_GROUPS = 1_000_000
 
 
 def _plain() -> dict[int, str | None]:
@@ -43,13 +49,7 @@ def _plain() -> dict[int, str | None]:
         kind, _, target = unicodedata.decomposition(chr(code)).partition(" ")
         if kind in ("<wide>", "<narrow>"):
             table[code] = "".join(chr(int(x, 16)) for x in target.split())
-    for code in range(sys.maxunicode + 1):
-        category = unicodedata.category(chr(code))
-        if category in ("Zs", "Zl", "Zp") or code in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85):
-            table[code] = " "
-        elif category in ("Cf", "Cc"):
-            table[code] = None
-    return table | dict.fromkeys(INVISIBLE_OTHERS) | {c: None for c in range(0xE0100, 0xE01F0)}
+    return table | dict.fromkeys(BLANK, " ") | dict.fromkeys(INVISIBLE)
 
 
 PLAIN = _plain()
@@ -125,20 +125,83 @@ def canonical(c: Column) -> Column:
     return F.coalesce(_one_form(odd), c)
 
 
+def token_kinds(text: str) -> list[tuple[str, str, str]]:
+    """(token, kind, spelling) of the tokens that mislead, each once in order.
+
+    ``mixed``: letters of more than one of the scripts Latin, Cyrillic and Greek, so no script is common to all.
+    ``whole``: all letters of one other script, but each with the shape of a Latin letter, so the whole can be read as
+    Latin. The spelling is that of ``one_form``.
+    """
+    found: dict[str, tuple[str, str]] = {}
+    for m in TOKEN.finditer(unicodedata.normalize("NFD", text.translate(PLAIN))):
+        letters = {c for c in m.group() if not unicodedata.combining(c)}
+        scripts = {"latin" if unicodedata.name(c, "").startswith("LATIN") else script_of(c) for c in letters} - {"other"}
+        if len(scripts) > 1:
+            kind = "mixed"
+        elif scripts - {"latin"} and letters <= SHAPE.keys():
+            kind = "whole"
+        else:
+            continue
+        found.setdefault(unicodedata.normalize("NFC", m.group()), (kind, unicodedata.normalize("NFC", spell(m.group()))))
+    return [(token, *rest) for token, rest in found.items()]
+
+
+KIND = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "kind", "spelling")]))
+
+
+@F.pandas_udf(KIND)
+def _token_kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(token_kinds, na_action="ignore")
+
+
+def misleading_tokens(rows: DataFrame, text: str, record: str) -> DataFrame:
+    """``record, token, kind, spelling`` of every token that mixes scripts or can be read as another script's.
+
+    Only texts with a Greek or Cyrillic letter leave the JVM. A null text has no tokens; copies of a row count once.
+    """
+    foreign = F.col(text).rlike(r"[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
+    found = rows.where(foreign).select(F.col(record).alias("r"), F.explode(_token_kinds(F.col(text))).alias("k"))
+    return found.select(F.col("r").alias(record), "k.token", "k.kind", "k.spelling").distinct()
+
+
+def _alike(rows: DataFrame, within: str, text: str, record: str) -> DataFrame:
+    """``w, h, g, t, r``: the rows of groups (a ``within`` and the form's two hashes) that hold more than one text.
+
+    The forms are worked out once, into a table in the shared folder. Groups are found by the extremes of a hash of the
+    text, which combine on the map side; only the rows of groups with several texts are brought together.
+    """
+    held = rows.select(F.col(within).alias("w"), F.col(text).alias("t"), F.col(record).alias("r")).dropna()
+    form = held.withColumn("form", canonical(F.col("t")))
+    keyed = write_once(form.select("w", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(1), "form").alias("g"), "t", "r"), "forms")
+    own = F.xxhash64("t")
+    groups = keyed.groupBy("w", "h", "g").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least <> most").select("w", "h", "g")
+    groups = write_once(groups, "groups")
+    small = groups.count() <= BROADCAST_GROUPS
+    return keyed.join(F.broadcast(groups) if small else groups, ["w", "h", "g"], "left_semi").distinct()
+
+
 def lookalike_pairs(rows: DataFrame, within: str, text: str, record: str) -> DataFrame:
     """``id_a, id_b`` with id_a < id_b: records with the same ``within`` whose texts differ but look the same.
 
-    Rows with a null ``within``, text or record pair with nothing. Copies of a row collapse on the map side first. Texts
-    are then joined with themselves on ``within`` and a hash of their one form, so a group holds only texts that look the
-    same, however many rows ``within`` has; the forms themselves are compared for what was found. Of several records with
-    the very same text in one ``within``, each pairs with the records of the other texts.
+    Rows with a null ``within``, text or record pair with nothing; copies of a row count once. A group holds only texts
+    that look the same, however many rows ``within`` has. Of several records with the very same text in one ``within``,
+    each pairs with the records of the other texts. For classes in place of pairs see ``lookalike_classes``.
     """
-    held = rows.select(F.col(within).alias("w"), F.col(text).alias("t"), F.col(record).alias("r")).dropna()
-    keyed = held.withColumn("h", F.xxhash64(canonical(F.col("t"))))
-    once = keyed.groupBy("w", "h", "t", "r").agg(F.lit(1).alias("one")).drop("one")
-    a, b = once.alias("a"), once.alias("b")
-    found = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.t") < F.col("b.t")) & (F.col("a.r") != F.col("b.r")))
+    alike = write_once(_alike(rows, within, text, record), "alike")
+    a, b = alike.alias("a"), alike.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("w", "h", "g")]
+    found = a.join(b, [*same, F.col("a.t") < F.col("b.t"), F.col("a.r") != F.col("b.r")])
     found = found.select(F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"))
     # One function of both texts, so that it runs on what the join found and not on either side of it.
     sure = found.where(_same_form("ta", "tb"))
     return sure.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b")).distinct()
+
+
+def lookalike_classes(rows: DataFrame, within: str, text: str, record: str) -> DataFrame:
+    """``record, class_id``: every record that looks like another of its ``within`` but is spelled otherwise, with the
+    smallest record of its class. One row per record and class, however large a class is; rules as in ``lookalike_pairs``.
+    """
+    alike = _alike(rows, within, text, record)
+    least = alike.groupBy("w", "h", "g").agg(F.min("r").alias("class_id"))
+    return alike.join(least, ["w", "h", "g"]).select(F.col("r").alias(record), "class_id").distinct()

@@ -86,6 +86,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every file and folder that looks like another one of its volume or folder, with its class."""
+    files = lookalikes.lookalike_classes(table(spark, d, "files"), "volume_id", "relative_path", "id")
+    folders = lookalikes.lookalike_classes(table(spark, d, "folders"), "parent_id", "name", "id")
+    named = [x.select(F.lit(kind).alias("record_kind"), "id", "class_id") for kind, x in (("file", files), ("folder", folders))]
+    return named[0].unionByName(named[1])
+
+
+def p3_misleading_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of file and folder names that mix scripts or can be read as Latin, with the number of records that hold them."""
+    kinds = [lookalikes.misleading_tokens(table(spark, d, n), "name", "id").withColumn("record_kind", F.lit(k)) for n, k in (("files", "file"), ("folders", "folder"))]
+    return kinds[0].unionByName(kinds[1]).groupBy("record_kind", "token", "kind", "spelling").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p3_folder_names(spark: SparkSession, d: str) -> DataFrame:
     """Every folder name in its one form, with whether that changed it."""
     form = lookalikes.canonical(F.col("name"))
@@ -158,5 +172,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_selection, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_selection, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}

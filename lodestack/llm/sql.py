@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from lodestack.llm.lookalikes import CYRILLIC, GREEK, LATIN_1, LATIN_2
-
 EXTENSION = "nullif(ltrim(lower(regexp_replace(extension, '^\\s+|\\s+$', '', 'g')), '.'), '')"
 
 COUNTS = f"""
@@ -46,21 +44,69 @@ INVISIBLE = "\\x{00AD}\\x{034F}\\x{061C}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 ORDINARY = "".join(map(chr, range(0x21, 0x7F)))
 BLANKS = "               　"
+# Letters by code point, with the Latin letter that each looks like; a list of its own, not the operator's.
+CYRILLIC = {
+    0x410: "A", 0x412: "B", 0x421: "C", 0x415: "E", 0x50C: "G", 0x41D: "H", 0x406: "I", 0x4C0: "I", 0x408: "J", 0x41A: "K", 0x41C: "M", 0x41E: "O", 0x420: "P",
+    0x51A: "Q", 0x405: "S", 0x422: "T", 0x474: "V", 0x51C: "W", 0x425: "X", 0x423: "Y", 0x4AE: "Y", 0x430: "a", 0x441: "c", 0x501: "d", 0x435: "e", 0x4BB: "h",
+    0x456: "i", 0x458: "j", 0x4CF: "l", 0x43E: "o", 0x440: "p", 0x51B: "q", 0x455: "s", 0x475: "v", 0x51D: "w", 0x445: "x", 0x443: "y", 0x4AF: "y",
+}
+GREEK = {
+    0x391: "A", 0x392: "B", 0x3F9: "C", 0x395: "E", 0x397: "H", 0x399: "I", 0x37F: "J", 0x39A: "K", 0x39C: "M", 0x39D: "N", 0x39F: "O", 0x3A1: "P", 0x3A4: "T",
+    0x3A7: "X", 0x3A5: "Y", 0x396: "Z", 0x3F2: "c", 0x3F3: "j", 0x3BF: "o", 0x3BD: "v",
+}
 # Accented letters whose base has a Latin shape; the others stay as they are in either form.
-ACCENTED = {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ѐ": "è", "Ѐ": "È", "ӓ": "ä", "Ӓ": "Ä", "ӧ": "ö", "Ӧ": "Ö", "ό": "ó", "Ό": "Ó", "Ά": "Á", "Έ": "É", "Ί": "Í", "Ύ": "Ý"}
+ACCENTED_CYRILLIC = {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ѐ": "è", "Ѐ": "È", "ӓ": "ä", "Ӓ": "Ä", "ӧ": "ö", "Ӧ": "Ö"}
+ACCENTED_GREEK = {"ό": "ó", "Ό": "Ó", "Ά": "Á", "Έ": "É", "Ί": "Í", "Ύ": "Ý"}
+SHAPES = {chr(c): latin for c, latin in (CYRILLIC | GREEK).items()} | ACCENTED_CYRILLIC | ACCENTED_GREEK
 
 
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _translate(x: str, letters: dict[str, str]) -> str:
+    return f"translate({x}, {_text(''.join(letters))}, {_text(''.join(letters.values()))})"
+
+
+def plain(column: str) -> str:
+    """Ordinary width and blanks, nothing invisible, accents composed."""
+    seen = f"regexp_replace({column}, '[{INVISIBLE}]', '', 'g')"
+    return f"nfc_normalize(translate({seen}, {_text(WIDE + BLANKS)}, {_text(ORDINARY + ' ' * len(BLANKS))}))"
+
+
 def look(column: str) -> str:
     """The skeleton of a text: equal for texts that look the same."""
-    seen = f"regexp_replace({column}, '[{INVISIBLE}]', '', 'g')"
-    wide = f"translate({seen}, {_text(WIDE + BLANKS)}, {_text(ORDINARY + ' ' * len(BLANKS))})"
-    composed = f"nfc_normalize({wide})"
-    shapes = f"translate({composed}, {_text(CYRILLIC + GREEK + ''.join(ACCENTED))}, {_text(LATIN_1 + LATIN_2 + ''.join(ACCENTED.values()))})"
-    return f"nfc_normalize({shapes})"
+    return f"nfc_normalize({_translate(plain(column), SHAPES)})"
+
+
+def _script(codes: dict[int, str], accented: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """Latin letters that the script has the shape of, as a class, and its spelling of them (the first of two letters)."""
+    back = {latin: own for own, latin in reversed([*sorted((chr(c), latin) for c, latin in codes.items() if c not in (0x4C0, 0x4AE, 0x4AF)), *accented.items()])}
+    return "".join(back), back
+
+
+def spelled(token: str) -> str:
+    """A token in the script that all its letters share, Latin first."""
+    latin = f"nfc_normalize({_translate(token, SHAPES)})"
+    whens = []
+    for name, codes, accented in (("Cyrillic", CYRILLIC, ACCENTED_CYRILLIC), ("Greek", GREEK, ACCENTED_GREEK)):
+        letters, back = _script(codes, accented)
+        fits = f"regexp_matches({latin}, '\\p{{{name}}}') AND NOT regexp_matches({latin}, '[^\\p{{{name}}}\\pM{letters}]')"
+        whens.append(f"WHEN {fits} THEN {_translate(latin, back)}")
+    return f"CASE {' '.join(whens)} ELSE {latin} END"
+
+
+FORMS = f"""SELECT DISTINCT id, one_form, one_form IS DISTINCT FROM name AS changed FROM (SELECT id, name,
+  nfc_normalize(array_to_string(list_transform(regexp_extract_all({plain('name')}, '[\\pL\\pM]+|[^\\pL\\pM]+'), lambda tok: {spelled('tok')}), '')) AS one_form FROM folders)"""
+
+
+def _misleading(kind: str, source: str) -> str:
+    cyrillic, greek = ("".join([*map(chr, codes), *accented]) for codes, accented in ((CYRILLIC, ACCENTED_CYRILLIC), (GREEK, ACCENTED_GREEK)))
+    holds = lambda name: f"regexp_matches(token, '\\p{{{name}}}')::INT"
+    return f"""SELECT '{kind}' AS record_kind, token, kind, {spelled('token')} AS spelling, count(DISTINCT id) AS records FROM (
+  SELECT id, token, CASE WHEN {holds('Latin')} + {holds('Cyrillic')} + {holds('Greek')} > 1 THEN 'mixed'
+    WHEN {holds('Cyrillic')} + {holds('Greek')} = 1 AND NOT regexp_matches(token, '[^{cyrillic}{greek}\\pM]') THEN 'whole' END AS kind
+  FROM (SELECT id, unnest(regexp_extract_all({plain('name')}, '[\\pL\\pM]+')) AS token FROM {source})) WHERE kind IS NOT NULL GROUP BY 1, 2, 3, 4"""
 
 
 def _pairs(kind: str, source: str, within: str, text: str) -> str:
@@ -68,11 +114,16 @@ def _pairs(kind: str, source: str, within: str, text: str) -> str:
 FROM {source} a JOIN {source} b ON a.{within} = b.{within} AND a.look = b.look AND a.{text} < b.{text} AND a.id <> b.id"""
 
 
-LOOKALIKES = f"""
+def _classes(kind: str, source: str, within: str, text: str) -> str:
+    return f"""SELECT DISTINCT '{kind}' AS record_kind, id, class_id FROM (
+  SELECT id, min(id) OVER w AS class_id, min({text}) OVER w <> max({text}) OVER w AS several FROM {source} WHERE {within} IS NOT NULL WINDOW w AS (PARTITION BY {within}, look)) WHERE several"""
+
+
+LOOKS = f"""
 WITH f AS (SELECT DISTINCT id, volume_id, relative_path, {look('relative_path')} AS look FROM files),
 g AS (SELECT DISTINCT id, parent_id, name, {look('name')} AS look FROM folders)
-{_pairs('file', 'f', 'volume_id', 'relative_path')} UNION ALL {_pairs('folder', 'g', 'parent_id', 'name')}
 """
+LOOKALIKES = f"{LOOKS} {_pairs('file', 'f', 'volume_id', 'relative_path')} UNION ALL {_pairs('folder', 'g', 'parent_id', 'name')}"
 
 LEAKS = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[{INVISIBLE}]', '', 'g')), '[\\pL\\pN]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -128,6 +179,9 @@ SELECT volume_id, extension FROM p JOIN m USING (extension) WHERE own >= 8 * gen
 """,
         "p2_percentiles": PERCENTILES,
         "p3_found": LOOKALIKES,
+        "p3_classes": f"{LOOKS} {_classes('file', 'f', 'volume_id', 'relative_path')} UNION ALL {_classes('folder', 'g', 'parent_id', 'name')}",
+        "p3_misleading_tokens": f"{_misleading('file', 'files')} UNION ALL {_misleading('folder', 'folders')}",
+        "p3_folder_names": FORMS,
         "p6_found": LEAKS,
         "p6_items": f"SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) LEFT JOIN ({LEAKS}) USING (item_id) GROUP BY 1",
         # Characters stand for tokens: no source lies near the limit, so any measure of size gives the same rows.

@@ -41,7 +41,8 @@ def signed_changes(before: DataFrame | None, after: DataFrame | None, record: Co
     held = held.groupBy("record", "sign", "term").agg(F.count(F.lit(1)).alias("n"))
     signed = lambda c: F.sum(c).cast("bigint")
     sums = [signed(F.col("n") * F.col("sign")).alias("d_occurrences"), signed(F.col("sign")).alias("d_records")]
-    terms = held.where("term IS NOT NULL").groupBy("term").agg(*sums).select(F.lit("term").alias("level"), "term", "d_occurrences", "d_records")
+    # Null terms are left out after the sums: a filter on the term would be moved down, and both branches would then read the rows.
+    terms = held.groupBy("term").agg(*sums, F.count("term").alias("known")).where("known > 0").select(F.lit("term").alias("level"), "term", "d_occurrences", "d_records")
     records = held.groupBy("record", "sign").agg(F.sum("n").alias("n")).groupBy().agg(*sums)
     everything = records.where("d_records IS NOT NULL").select(F.lit("all").alias("level"), F.lit(None).cast("string").alias("term"), "d_occurrences", "d_records")
     return terms.unionByName(everything).where("d_occurrences <> 0 OR d_records <> 0")
