@@ -9,6 +9,7 @@ decided by a seeded hash. No source is taken more often than its cap allows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions.text import strip
-from lodestack.session import parallelism, shared_path
+from lodestack.session import parallelism, write_once
 
 #: Tokens that the knapsack's table reaches; a larger budget is filled in proportion to the lengths up to half of it.
 TABLE = 1 << 17
 #: The largest table that is tried where a smaller one misses the budget.
 MOST_TABLE = 1 << 23
-#: Characters that the tokenizer is given at a time where a text is longer.
+#: Characters after which a longer text is cut for the tokenizer, to bound its memory.
 PIECE = 200_000
+#: Where a text may be cut: before a blank or line break after something else. The tokenizers' pattern starts a new piece
+#: there in any text, so the numbers of tokens of the parts add up to that of the whole.
+CUT = re.compile(r"(?<=\S)[ \n]")
 
 
 def tokenizer_path() -> str:
@@ -48,15 +52,13 @@ def encoding(path: str):
 
 
 def count_tokens(path: str, text: str | None) -> int:
-    """Tokens of the whole text; null has none. A very long text is cut at white space after each PIECE characters."""
+    """Tokens of the whole text; null has none. A long text is handed over in parts, a stretch without a CUT in one."""
     if not text:
         return 0
     encode, total, at = encoding(path).encode_ordinary, 0, 0
     while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            while end < len(text) and end < at + 2 * PIECE and not (text[end].isspace() and not text[end - 1].isspace()):
-                end += 1
+        found = CUT.search(text, at + PIECE)
+        end = found.start() if found else len(text)
         total += len(encode(text[at:end]))
         at = end
     return total
@@ -84,7 +86,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
 
     Within the table the sum is the nearest that any subset has, the smaller one of two equally near. A budget beyond the
     table is first filled, up to half of a table, with the same share of every length, and the table settles the rest; if
-    that misses the budget, tables up to ``most`` are tried, and the nearest sum of all is taken.
+    that misses the budget, tables up to ``most`` are tried, and the nearest sum of all is taken. ``proven_nearest`` says
+    whether it is known that no other sum is nearer.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     if budget >= int((lengths * counts).sum()):
@@ -132,16 +135,27 @@ def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np
     return taken
 
 
-PLAN = "source_key string, source_name string, target_share double, max_repeats int, budget bigint, source_tokens bigint, n_tokens bigint, documents bigint, passes int, extra bigint, unreachable boolean"
+def proven_nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, taken: np.ndarray, table: int = TABLE, most: int = MOST_TABLE) -> bool:
+    """Whether no subset comes nearer to the budget: it is met, it lies beyond or within what was searched whole, or the
+    greatest common divisor of the lengths allows no sum that is nearer."""
+    reached, whole = int((lengths * taken).sum()), int((lengths * counts).sum())
+    off = abs(budget - reached)
+    if not off or budget >= whole or budget <= max(table, most):
+        return True
+    step = int(np.gcd.reduce(lengths[counts > 0]))
+    return off == min(budget % step, -budget % step)
 
 
-def mixing_plan(lengths: DataFrame, targets: DataFrame, table: int = TABLE) -> DataFrame:
+PLAN = "source_key string, source_name string, target_share double, max_repeats int, target_tokens double, budget bigint, source_tokens bigint, n_tokens bigint, documents bigint, passes int, extra bigint, exact boolean"
+
+
+def mixing_plan(lengths: DataFrame, targets: DataFrame, table: int = TABLE, most: int = MOST_TABLE) -> DataFrame:
     """Per listed source and token length: whole ``passes`` and how many documents are taken once more (``extra``).
 
     ``lengths`` has ``source`` and ``n_tokens`` of every document. Names are compared without case and surrounding blanks;
     target rows of one name add up (the largest cap holds, a null cap is 1, a null share 0). A source without documents
-    has one row with 0 documents. One task per source works on its numbers by length, not on documents: at most as many
-    rows as there are different lengths.
+    has one row with 0 documents. ``exact`` says that no choice within the cap comes nearer to the target. One task per
+    source works on its numbers by length, not on documents: at most as many rows as there are different lengths.
     """
     named = targets.select(source_key(F.col("source_name")).alias("source_key"), "source_name", "target_share", "max_repeats")
     named = named.groupBy("source_key").agg(
@@ -155,23 +169,30 @@ def mixing_plan(lengths: DataFrame, targets: DataFrame, table: int = TABLE) -> D
         share, cap = float(group["target_share"].iloc[0]), int(group["max_repeats"].iloc[0])
         lengths, counts = group["n_tokens"].to_numpy(np.int64), group["documents"].to_numpy(np.int64)
         own = int((lengths * counts).sum())
-        beyond = share * total > cap * own
         budget = int(share * total + 0.5)
         passes = min(cap, budget // own) if own else 0
-        extra = np.zeros(len(group), np.int64) if passes >= cap or not own else fit_budget(lengths, counts, budget - passes * own, table)
-        return group.assign(budget=budget, source_tokens=own, passes=passes, extra=extra, unreachable=beyond)[[f.split()[0] for f in PLAN.split(", ")]]
+        extra, exact = np.zeros(len(group), np.int64), True
+        if passes < cap and own:
+            extra = fit_budget(lengths, counts, budget - passes * own, table, most)
+            exact = proven_nearest(lengths, counts, budget - passes * own, extra, table, most)
+        return group.assign(target_tokens=share * total, budget=budget, source_tokens=own, passes=passes, extra=extra, exact=exact)[[f.split()[0] for f in PLAN.split(", ")]]
 
     return held.groupBy("source_key").applyInPandas(fit, PLAN)
 
 
 def mixing_report(plan: DataFrame) -> DataFrame:
-    """Per source: target, tokens there, tokens chosen and the share of all chosen tokens that they are (null if none are)."""
+    """Per source: target, tokens there, tokens chosen and the share of all chosen tokens that they are (null if none are).
+
+    ``unreachable`` says that the choice, although it takes every document as often as the cap allows, stays below the target.
+    """
     chosen = F.col("n_tokens") * (F.col("documents") * F.col("passes") + F.col("extra"))
-    per = plan.groupBy("source_key", "source_name", "target_share", "max_repeats", "budget", "source_tokens", "unreachable").agg(
-        F.sum("documents").alias("documents"), F.sum(chosen).alias("chosen_tokens")
+    per = plan.groupBy("source_key", "source_name", "target_share", "max_repeats", "target_tokens", "budget", "source_tokens").agg(
+        F.sum("documents").alias("documents"), F.sum(chosen).alias("chosen_tokens"), F.bool_and("exact").alias("exact")
     )
     all_chosen = F.sum("chosen_tokens").over(Window.partitionBy(F.lit(1)))  # one row per listed source
-    return per.drop("source_key").withColumn("reached_share", F.try_divide(F.col("chosen_tokens"), all_chosen))
+    spent = F.col("chosen_tokens") == F.col("max_repeats") * F.col("source_tokens")
+    beyond = spent & (F.col("target_tokens") > F.col("chosen_tokens"))
+    return per.drop("source_key").withColumns({"reached_share": F.try_divide(F.col("chosen_tokens"), all_chosen), "unreachable": beyond})
 
 
 def chosen_documents(lengths: DataFrame, plan: DataFrame, doc: str, seed: int = 0, buckets: int | None = None) -> DataFrame:
@@ -199,6 +220,4 @@ def chosen_documents(lengths: DataFrame, plan: DataFrame, doc: str, seed: int =
 
 def stored_lengths(docs: DataFrame, doc: str, source: str, text: str, tokenizer: str | None = None) -> DataFrame:
     """``doc, source, n_tokens`` of every document, tokenized once and kept in the shared folder."""
-    path = shared_path(docs.sparkSession, "lengths")
-    token_lengths(docs.select(doc, F.col(source).alias("source"), text), [doc, "source"], text, tokenizer).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return write_once(token_lengths(docs.select(doc, F.col(source).alias("source"), text), [doc, "source"], text, tokenizer), "lengths")

@@ -130,6 +130,7 @@ def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of which the choice takes all that the cap allows and still misses the target."""
     return mixing.mixing_report(_plan(spark, d)[1]).where("unreachable").select("source_name")
 
 
@@ -137,6 +138,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixing_report(_plan(spark, d)[1])
 
 
+def p7_report_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The same with characters as the measure of size, which SQL can count too."""
+    lengths = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    report = mixing.mixing_report(mixing.mixing_plan(lengths, table(spark, d, "mix_targets")))
+    return report.select("source_name", "budget", "source_tokens", "documents", "chosen_tokens", "exact", "unreachable", F.round("reached_share", 9).alias("reached_share"))
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     lengths, plan = _plan(spark, d)
     return mixing.chosen_documents(lengths, plan, "doc_id", seed=7)
@@ -172,5 +180,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_selection, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_report_by_characters, p7_selection, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}

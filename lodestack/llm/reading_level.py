@@ -45,23 +45,16 @@ SHAPE = 100.0
 #: Links in one packed row; a document with more has a row of its own.
 PACK = 4_000_000
 
-NO_WORD = r"\P{L}+"
-SENTENCE_END = r"[.!?](?:[\s\u0085\p{Z}]|\z)"
+#: A sentence from its first letter to its end; stretches without a letter have none. Patterns count in the JVM's compiled
+#: code, which is several times faster than functions over arrays of words.
+SENTENCE = r"\p{L}(?s:.)*?(?:[.!?](?=[\s\u0085\p{Z}]|\z)|\z)"
 
 
-def text_words(text: Column) -> Column:
-    """The words of a text, runs of letters, in order; none of null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
-
-
-def readability(text: Column, words: Column) -> dict[str, Column]:
-    """Words, sentences and words of more than six letters of a text with its ``text_words``; null has none."""
-    stretches = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    return {
-        "n_words": F.size(words),
-        "n_sentences": F.size(F.filter(stretches, lambda s: s.rlike(r"\p{L}"))),
-        "n_long": F.size(F.filter(words, lambda w: F.length(w) > 6)),
-    }
+def readability(text: Column) -> dict[str, Column]:
+    """Words (runs of letters), sentences and words of more than six letters of a text; null has none."""
+    held = F.coalesce(text, F.lit(""))
+    patterns = {"n_words": r"\p{L}+", "n_sentences": SENTENCE, "n_long": r"\p{L}{7,}"}
+    return {name: F.regexp_count(held, F.lit(p)) for name, p in patterns.items()}
 
 
 def lix() -> Column:
@@ -71,10 +64,8 @@ def lix() -> Column:
 
 def document_nodes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc, n_words, n_sentences, n_long, nodes``. A text without words has no nodes."""
-    split = docs.select(doc, F.col(text).alias("__text"), text_words(F.col(text)).alias("__words"))
-    counts = readability(F.col("__text"), F.col("__words"))
-    found = F.array_distinct(F.transform(F.array_distinct("__words"), lambda w: F.lower(w)))
-    counted = split.select(doc, *[c.alias(n) for n, c in counts.items()], found.alias("nodes"))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+")), "")
+    counted = docs.select(doc, *[c.alias(n) for n, c in readability(F.col(text)).items()], words.alias("nodes"))
     per_sentence = F.col("n_words") / F.greatest(F.col("n_sentences"), F.lit(1))
     long_share = F.lit(100) * F.col("n_long") / F.col("n_words")
     shape = [F.concat(F.lit(m), F.floor(c / w).cast("string")) for m, c, w in (("#sentence ", per_sentence, 3), ("#long ", long_share, 4), ("#both ", lix(), 4))]

