@@ -39,7 +39,7 @@ TO_LATIN = str.maketrans(SHAPE)
 TO_SCRIPT = {script: str.maketrans(letters) for script, letters in SPELLING.items()}
 
 #: Groups of equal-looking texts up to which their hashes are broadcast (24 bytes each); beyond, they are joined.
-BROADCAST_GROUPS = 1_000_000
+BROADCAST_GROUPS = 200_000
 
 
 def _plain() -> dict[int, str | None]:
