@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import skew, snapshots
 from lodestack.plans import catalogue
+from lodestack.session import shared_path
+from lodestack.sources.snapshots import SnapshotStore
 from lodestack.sources.tables import table
 
 
@@ -27,6 +29,16 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_increment(spark: SparkSession, d: str) -> DataFrame:
+    """What each volume's last completed scan changed, as an increment to a store that keeps the scans before it sorted."""
+    rows, sequence = table(spark, d, "file_snapshots"), snapshots.completed_sequence(table(spark, d, "scan_history"))
+    last = sequence.groupBy("volume_id").agg(F.max("position").alias("last"))
+    before = sequence.join(last, "volume_id").where("position < last").drop("last")
+    store = SnapshotStore(spark, shared_path(spark, "snapshots"), snapshot="scan_id", group="volume_id", key="relative_path", compare=["size_bytes", "modified_at"], newest_by="scanned_at", absent="missing")
+    store.add(rows, before)
+    return store.add(rows, sequence).select("scan_id", "relative_path", "change_type")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     totals = skew.file_totals(table(spark, d, "files"))
     return skew.heavy_keys(totals, {"volume_id": 0.04, "folder_id": 0.01}).select("key_field", "key_id")
@@ -45,4 +57,4 @@ def p5_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_summary, p5_found, p5_totals, p5_medians)} | catalogue.queries()
+    return {f.__name__: f for f in (p4_found, p4_summary, p4_increment, p5_found, p5_totals, p5_medians)} | catalogue.queries()

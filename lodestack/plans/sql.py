@@ -33,6 +33,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_summary": f"""{CHANGES} SELECT scan_id, count(*) FILTER (change_type = 'added') AS files_added, count(*) FILTER (change_type = 'removed') AS files_removed,
   count(*) FILTER (change_type = 'changed') AS files_changed, sum(coalesce(new_size, 0) - coalesce(old_size, 0))::BIGINT AS bytes_delta
 FROM c WHERE change_type IS NOT NULL GROUP BY 1""",
+        "p4_increment": f"""{CHANGES} SELECT scan_id, relative_path, change_type FROM c WHERE change_type IS NOT NULL AND scan_id IN (
+  SELECT last(scan_id ORDER BY pos) FROM h GROUP BY volume_id)""",
         "p5_found": """
 WITH f AS (SELECT DISTINCT id, volume_id, folder_id FROM files)
 SELECT 'volume_id' AS key_field, volume_id AS key_id FROM f WHERE volume_id IS NOT NULL GROUP BY 2 HAVING count(*) > 0.04 * (SELECT count(*) FROM f)

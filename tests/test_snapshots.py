@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.errors import CatalogueInUse
 from lodestack.operators import snapshots as s
+from lodestack.session import shared_path
+from lodestack.sources.snapshots import SnapshotStore
 
 SNAP = "scan_id bigint, volume_id bigint, relative_path string, size_bytes bigint, modified_at timestamp_ntz, missing int, scanned_at timestamp_ntz"
 HIST = "id bigint, volume_id bigint, started_at timestamp_ntz, status string"
@@ -44,7 +47,7 @@ def brute(rows, history):
 @pytest.mark.parametrize("seed", range(4))
 def test_against_brute_force(spark, seed, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(s, "HOT_ROWS", 5)
+        monkeypatch.setattr(s, "OFTEN", 3)
     rng = random.Random(seed)
     history = [(i, rng.choice([1, 2]), at(rng.randrange(99) + i / 100), rng.choice(["completed", "completed", "failed", "running"])) for i in range(1, 13)]
     volume = {h[0]: h[1] for h in history}
@@ -97,15 +100,89 @@ def test_a_hot_volume_is_cut_into_ranges_and_sorted_once(spark):
     df = s.scan_changes(rows, history, ranges=4)
     assert df.count() == 4000
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan
+    assert plan.count("REPARTITION_BY_NUM") == 1, plan
+    assert plan.split("REPARTITION_BY_NUM")[0].count("Sort [") == 1 and plan.split("REPARTITION_BY_NUM")[0].count("Exchange ") == 1, plan
     assert df.select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 300").count() >= 3
 
 
-def test_a_key_with_most_rows_is_collapsed_before_the_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(s, "HOT_ROWS", 1000)
+def test_ranges_are_even_and_in_order(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("s"), (F.col("id") % 3).alias("g"), F.format_string("p%05d", "id").alias("k"))
+    ranges, hot = s.survey(rows, "s", "g", "k", 7, 1)
+    labels = s.range_labels(7)
+    at = F.pmod(F.hash(ranges.of(F.col("g"), F.col("k"), labels)), F.lit(7))
+    found = rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("g", "k")).alias("low"), F.max(F.struct("g", "k")).alias("high")).orderBy("at").collect()
+    assert hot == [] and [r["at"] for r in found] == list(range(7)) and max(r["n"] for r in found) < 2 * 20_000 / 7
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_nulls_lie_in_the_first_ranges():
+    assert s.Ranges(()).number() == 1
+
+
+def test_a_key_with_most_rows_is_collapsed_before_the_shuffle(spark):
     history = spark.createDataFrame([(1, 1, at(0), "completed"), (2, 1, at(1), "completed")], HIST)
     one = spark.createDataFrame([(2, 1, "hot", 1, None, 0, at(1))], SNAP)
     rows = one.crossJoin(spark.range(20_000).select()).unionByName(spark.createDataFrame([(1, 1, "cold", 1, None, 0, at(1))], SNAP))
     df = s.scan_changes(rows, history)
     assert "partial_max" in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.relative_path, r.change_type) for r in df.collect()) == [("cold", "removed"), ("hot", "added")]
+
+
+def store(spark, **options):
+    return SnapshotStore(spark, shared_path(spark, "s"), snapshot="scan_id", group="volume_id", key="relative_path", compare=["size_bytes", "modified_at"], newest_by="scanned_at", absent="missing", **options)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_increments_give_what_the_whole_history_gives(spark, seed):
+    rng = random.Random(seed)
+    history = [(i, 1 + i % 3, at(i), "completed") for i in range(1, 13)]
+    rows = [(h[0], h[1], rng.choice(["a", "b", "a/b", "", None, "é", "z" * 30]), rng.choice([1, 2, None]), at(rng.choice([1, None])), rng.choice([0, 0, 1]), at(rng.randrange(99))) for h in history for _ in range(9)]
+    rows = [r for r in rows if r[0] != 5]  # a scan that found nothing
+    df = spark.createDataFrame(rows, SNAP).withColumns({"__range": F.lit(9), "__at": F.lit("x")})
+    sequence = s.completed_sequence(spark.createDataFrame(history, HIST))
+    kept, got = store(spark, ranges=3), []
+    for upto in (4, 5, 8, 12, 12):
+        kept = store(spark, ranges=5) if not got and upto == 4 else kept
+        got += [(r.scan_id, r.relative_path or "", r.change_type) for r in kept.add(df, sequence.where(F.col("scan_id") <= upto)).collect()]
+        kept.reload()
+    assert sorted(got) == brute(rows, history) and kept.version == 5
+    last = {r[0] for r in brute_state(rows, history)}
+    assert {(r.volume_id, r.relative_path) for r in kept.state().collect()} == last
+
+
+def brute_state(rows, history):
+    newest = {v: max(h[0] for h in history if h[1] == v) for v in (1, 2, 3)}
+    best = {}
+    for r in sorted((r for r in rows if r[0] == newest[r[1]]), key=lambda r: (r[6] or datetime.min, r[5], -1 if r[3] is None else r[3], r[4] or datetime.min)):
+        best[r[1], r[2]] = r
+    return {((v, p), r[3]) for (v, p), r in best.items() if r[5] != 1}
+
+
+def test_a_merge_reads_sorted_ranges_and_shuffles_nothing(spark, monkeypatch):
+    from lodestack.sources import snapshots as module
+
+    plans = []
+    real = module.neighbour_changes
+    monkeypatch.setattr(module, "neighbour_changes", lambda *given: plans.append(real(*given)) or plans[-1])
+    history = spark.createDataFrame([(i, 1, at(i), "completed") for i in (1, 2, 3)], HIST)
+    rows = spark.range(3000).select((1 + F.col("id") % 3).alias("scan_id"), F.lit(1).cast("bigint").alias("volume_id"), F.format_string("p%04d", F.floor(F.col("id") / 3)).alias("relative_path"), F.lit(1).cast("bigint").alias("size_bytes"),
+        F.lit(None).cast("timestamp_ntz").alias("modified_at"), F.lit(0).alias("missing"), F.lit(at(1)).alias("scanned_at"))
+    sequence, kept = s.completed_sequence(history), store(spark, ranges=4)
+    kept.add(rows, sequence.where("position <= 2"))
+    assert kept.add(rows, sequence).count() == 0
+    plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert kept.state().count() == 1000 and len(kept.ranges.cuts) == 3
+    assert kept.vacuum(0) >= 2 and kept.state().count() == 1000
+
+
+def test_two_writers_of_one_store(spark):
+    history = spark.createDataFrame([(1, 1, at(1), "completed"), (2, 1, at(2), "completed")], HIST)
+    rows = spark.createDataFrame([(1, 1, "a", 1, None, 0, at(1)), (2, 1, "b", 1, None, 0, at(2))], SNAP)
+    sequence, one = s.completed_sequence(history), store(spark)
+    other = SnapshotStore(spark, one.path, snapshot="scan_id", group="volume_id", key="relative_path", compare=["size_bytes", "modified_at"], newest_by="scanned_at", absent="missing")
+    one.add(rows, sequence.where("position = 1"))
+    with pytest.raises(CatalogueInUse):
+        other.add(rows, sequence)
+    other.reload()
+    assert sorted(r.change_type for r in other.add(rows, sequence).collect()) == ["added", "removed"]
