@@ -34,19 +34,24 @@ class Subtree(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    """The root with its own files is one part, every folder right below it another."""
+    """Folders are divided until there are ``parts`` subtrees to read, so that a drive whose content lies in one folder is
+    not one task. Only as many folders as are divided are listed for that; a folder that was divided is a part of its own."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, parts: int = 64):
+        self.root, self.parts = root, parts
 
     def partitions(self) -> list[Subtree]:
-        below = []
-        try:
-            with os.scandir(self.root) as entries:
-                below = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
-        except OSError:
-            pass  # the part of the root reports it
-        return [Subtree("", False), *[Subtree(name, True) for name in below]]
+        divided, whole = [], [""]
+        while whole and len(whole) < self.parts and len(divided) < self.parts:
+            path = whole.pop(0)
+            divided.append(path)
+            try:
+                with os.scandir(os.path.join(self.root, path) if path else self.root) as entries:
+                    below = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False) and not e.is_junction())
+            except OSError:
+                continue  # the part of the folder itself reports it
+            whole += [f"{path}/{name}" if path else name for name in below]
+        return [*[Subtree(p, False) for p in divided], *[Subtree(p, True) for p in whole]]
 
     def _row(self, kind: str, path: str, entry: os.stat_result) -> tuple:
         from decimal import Decimal
@@ -81,6 +86,8 @@ class TreeReader(DataSourceReader):
                 except OSError as error:
                     yield self._failed(child, error)
                     continue
+                if getattr(entry, "st_file_attributes", 0) & stat.FILE_ATTRIBUTE_REPARSE_POINT:
+                    continue  # a junction or the like, where there are such
                 if stat.S_ISREG(entry.st_mode):
                     yield self._row("file", child, entry)
                 elif stat.S_ISDIR(entry.st_mode) and partition.deep:
@@ -98,12 +105,12 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"])
+        return TreeReader(self.options["path"], int(self.options.get("parts", 64)))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(FileTree)
-    return spark.read.format("file_tree").load(root)
+    return spark.read.format("file_tree").option("parts", str(max(64, 4 * spark.sparkContext.defaultParallelism))).load(root)
 
 
 def scanned_items(tree: DataFrame, volume_id: int, scanned_at) -> tuple[DataFrame, DataFrame, DataFrame]:
