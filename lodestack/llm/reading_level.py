@@ -42,7 +42,7 @@ PRIOR = 0.05
 GRADED = 100.0
 #: How many times a node for the shape of a text weighs a word that is as frequent.
 SHAPE = 100.0
-#: Links in one packed row; a document with more has a row of its own.
+#: Links in one packed row (a document with more has a row of its own), and for one task of a round.
 PACK = 4_000_000
 
 #: A letter; naming the common ones first is faster.
@@ -174,6 +174,7 @@ def _levels_broadcast(held, doc, weights, mean, steps, prior, within, most_round
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     linked = write_once(held.select(*[f.name for f in kept], "nodes").mapInArrow(number, schema), "linked")
     packed = write_once(linked.where("grade IS NULL").select("ids").mapInArrow(pack, "ids binary, sizes binary, weigh binary"), "packed")
+    packed = packed.coalesce(-(-int(table["n"].to_numpy().sum()) // PACK) or 1)  # a round over few links is few tasks
 
     def sums(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
