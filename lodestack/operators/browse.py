@@ -98,8 +98,10 @@ def item_properties(item_type: str, files: DataFrame, folders: DataFrame, volume
 
 
 def sort_items(items: DataFrame, column: str, descending: bool = False, group: str | None = None, tie: str = "id") -> DataFrame:
-    """A table in the order of one column, text without case and null as empty, optionally within groups that keep their order."""
+    """A table in the order of one column, text without case and null as empty, an unknown number (a size, a count) as -1,
+    an unknown time first, optionally within groups that keep their order."""
     kind = items.schema[column].dataType.simpleString()
-    key = F.lower(F.coalesce(F.col(column), F.lit(""))) if kind == "string" else F.col(column)
+    unknown = {"string": F.lower(F.coalesce(F.col(column), F.lit(""))), "bigint": F.coalesce(column, F.lit(-1)), "int": F.coalesce(column, F.lit(-1))}
+    key = unknown.get(kind, F.col(column))
     order = [key.desc_nulls_last() if descending else key.asc_nulls_first(), F.col(tie)]
     return items.orderBy(*([F.col(group)] if group else []), *order)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.catalogue import utc
+from lodestack.operators.register import LOCATION, clean_path
 from lodestack.session import cut_lineage
 
 KEY = ["volume_id", "relative_path"]
@@ -71,6 +72,18 @@ def update_volume(volumes: DataFrame, volume_id: int, **values) -> DataFrame:
     return volumes.withColumns(sets)
 
 
+def update_location(volumes: DataFrame, volume_id: int, source_path: str | None, location: dict[str, str] | None, now: datetime) -> DataFrame:
+    """The volumes with one of them at another place; an identity without both its parts is none."""
+    given = {c: str((location or {}).get(c) or "") for c in LOCATION}
+    kind, token = normalized_location(given["identity_kind"], given["identity_token"])
+    return update_volume(volumes, volume_id, source_path=clean_path(source_path), updated_at=now, **given | {"identity_kind": kind, "identity_token": token})
+
+
+def update_storage(volumes: DataFrame, volume_id: int, capacity: int, used: int, free: int, now: datetime, scanned_at: datetime | None = None) -> DataFrame:
+    """The volumes with the sizes of one of them; without ``scanned_at`` its last scan stays."""
+    return update_volume(volumes, volume_id, capacity_bytes=capacity, used_bytes=used, free_bytes=free, last_scan_at=scanned_at, updated_at=now)
+
+
 def normalized_location(kind: str | None, token: str | None) -> tuple[str, str]:
     """An identity counts only with both its parts."""
     kind, token = (kind or "").strip(), (token or "").strip()

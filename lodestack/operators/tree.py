@@ -18,24 +18,27 @@ def unknown_as_zero(size: str = "size_bytes"):
 def ancestor_closure(folders: DataFrame) -> DataFrame:
     """``descendant, ancestor, steps`` for every present folder and each folder above it, itself included (steps 0).
 
-    The chain follows ``parent_id`` and ends at a folder that is missing, unknown, or met again (a cycle). One join per
-    level of the tree; each level is written to the shared folder, so no level is worked out twice.
+    The chain follows ``parent_id`` and ends at a folder that is missing, unknown, or met again (a cycle). The reach is
+    doubled each time: pairs of exactly that many steps are joined with all pairs so far, so a tree of depth d takes
+    log2(d) joins. What each join adds is written to the shared folder, so no join is worked out twice.
     """
     present = folders.where("missing = 0").select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).dropDuplicates(["child"])
     own = present.select(F.col("child").alias("descendant"), F.col("child").alias("ancestor"), F.lit(0).alias("steps"))
     known = present.select(F.col("child").alias("known"))
-    edges = cut_lineage(present.join(known, present["parent"] == known["known"], "left_semi"))
-    levels = [own]
-    front = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
+    edges = present.join(known, present["parent"] == known["known"], "left_semi").where("child <> parent")
+    pairs = cut_lineage(edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    parts, reach = [pairs], 1
     while True:
-        seen = reduce(DataFrame.unionByName, levels).select("descendant", "ancestor")
-        front = cut_lineage(front.join(seen, ["descendant", "ancestor"], "left_anti"))
-        if front.isEmpty():
+        far = parts[-1].where(F.col("steps") == reach).select("descendant", F.col("ancestor").alias("__via"))
+        if far.isEmpty():
             break
-        levels.append(front)
-        up = front.join(edges, front["ancestor"] == edges["child"])
-        front = up.select("descendant", F.col("parent").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
-    return reduce(DataFrame.unionByName, levels)
+        pairs = reduce(DataFrame.unionByName, parts)
+        on = pairs.select(F.col("descendant").alias("__via"), "ancestor", (F.col("steps") + reach).alias("steps"))
+        # Only in a cycle is an ancestor met again; its first place counts, and everything after it has been met too.
+        further = far.join(on, "__via").groupBy("descendant", "ancestor").agg(F.min("steps").alias("steps")).where("descendant <> ancestor")
+        parts.append(cut_lineage(further.join(pairs.select("descendant", "ancestor"), ["descendant", "ancestor"], "left_anti")))
+        reach *= 2
+    return reduce(DataFrame.unionByName, [own, *parts])
 
 
 def direct_statistics(folders: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.catalogue import drive_reference, drive_sequence, drive_sort_key, percentage_full
+from lodestack.functions.catalogue import display_count, display_time, drive_reference, drive_sequence, drive_sort_key, format_size, join_path, percentage_full
 from lodestack.functions.text import ascii_lower, strip
 
 #: Fields that the volume filter looks at.
@@ -107,20 +107,60 @@ def filter_volumes(view: DataFrame, text: str) -> DataFrame:
     return view
 
 
-def connected_volumes(volumes: DataFrame, mounts: DataFrame) -> DataFrame:
+def connected_volumes(volumes: DataFrame, mounts: DataFrame, existing: DataFrame | None = None, captured: DataFrame | None = None) -> DataFrame:
     """Every volume with the mount it is found at and its source path there; null where it is not connected.
 
     Mounts (columns ``ordinal, mount_root, identity_kind, identity_token``: what is plugged in, a handful) match by kind
-    and by token without case; the first in order counts. A volume without identity is found nowhere.
+    and by token without case; the first in order counts. A volume without identity is found nowhere. With ``existing``
+    (column ``path``: the paths that were looked for and are there) a volume whose path is not among them is not
+    connected. With ``captured`` (``source_path, identity_kind, identity_token``: what saved source paths that exist lie
+    on now) a volume that no mount matches is connected at its saved path if that still lies on its drive.
     """
     first = Window.partitionBy("k", "t").orderBy("ordinal")
     known = mounts.select(F.col("identity_kind").alias("k"), F.lower("identity_token").alias("t"), "mount_root", "ordinal").where("k <> '' AND t <> ''")
     known = known.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "ordinal")
     on = (volumes["identity_kind"] == known["k"]) & (F.lower(volumes["identity_token"]) == known["t"])
-    relative = F.regexp_replace(F.coalesce("source_relative_path", F.lit("")), r"^(\./|/)+|/+$", "")
-    path = F.when(relative.isin("", "."), F.col("mount_root")).otherwise(F.concat(F.regexp_replace("mount_root", "/+$", ""), F.lit("/"), relative))
-    joined = volumes.join(known, on, "left")
-    return joined.select("id", "mount_root", F.when(F.col("mount_root").isNotNull(), path).alias("found_path"), F.col("mount_root").isNotNull().alias("connected"))
+    path = join_path(F.col("mount_root"), F.col("source_relative_path"))
+    joined = volumes.join(known, on, "left").withColumn("found_path", F.when(F.col("mount_root").isNotNull(), path))
+    if existing is not None:
+        there = existing.select(F.col("path").alias("found_path"), F.lit(True).alias("__there")).distinct()
+        joined = joined.join(there, "found_path", "left").withColumn("found_path", F.when(F.col("__there"), F.col("found_path")))
+    if captured is not None:
+        saved = captured.select(F.col("source_path").alias("__saved"), F.col("identity_kind").alias("__k"), F.lower("identity_token").alias("__t")).dropDuplicates(["__saved"])
+        same = (F.col("source_path") == F.col("__saved")) & (F.col("identity_kind") == F.col("__k")) & (F.lower("identity_token") == F.col("__t")) & (F.col("__k") != "") & (F.col("__t") != "")
+        joined = joined.join(saved, same & F.col("mount_root").isNull(), "left").withColumn("found_path", F.coalesce("found_path", "__saved"))
+    connected = F.col("found_path").isNotNull()
+    return joined.select("id", F.when(connected, F.col("mount_root")).alias("mount_root"), "found_path", connected.alias("connected"))
+
+
+def physical_paths(items: DataFrame, connected: DataFrame) -> DataFrame:
+    """Items (``volume_id, relative_path`` and any others) with where they are now: ``physical_path, available``.
+
+    The path is the volume's source path with the item's segments, null while the volume is not connected (``connected``
+    of ``connected_volumes``, one small row a volume). Whether the item itself is there is not looked at.
+    """
+    about = connected.select(F.col("id").alias("volume_id"), F.col("found_path").alias("__at"))
+    joined = items.join(about, "volume_id", "left")
+    there = F.col("__at").isNotNull()
+    return joined.withColumns({"physical_path": F.when(there, join_path(F.col("__at"), F.col("relative_path"))), "available": there}).drop("__at")
+
+
+def volume_table(view: DataFrame, connected: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``id`` and the 22 columns of the table of volumes as text, ``-`` where there is nothing to show."""
+    shown = view.join(connected.select("id", "connected"), "id", "left")
+    dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-"))
+    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("-"))
+    columns = {
+        "drive_id": dash("drive_id"), "name": dash("name"), "source_path": dash("source_path"), "status": F.col("register_status"), "condition": F.col("condition"),
+        "description": dash("description"), "connector": F.col("connector"), "connection": F.when(F.coalesce("connected", F.lit(False)), "Connected").otherwise("Offline"),
+        "mirror": F.when(F.col("is_mirror") == 1, "Yes").otherwise("No"),
+        "master_drive": F.when(F.col("master_volume_id").isNotNull(), drive_reference(F.col("master_drive_id"), F.col("master_name"))).otherwise("-"),
+        "date_added": day("date_added"), "earliest_content": day("earliest_content_date"), "latest_content": day("latest_content_date"), "retired_date": day("retired_date"),
+        "mirror_date": day("mirror_date"), "capacity": format_size(F.col("capacity_bytes")), "used": format_size(F.col("used_bytes")), "free": format_size(F.col("free_bytes")),
+        "full": F.concat(F.col("percent_full"), F.lit("%")), "files": display_count(F.col("indexed_file_count")), "folders": display_count(F.col("indexed_folder_count")),
+        "last_scan": display_time(F.col("last_scan_at"), zone),
+    }
+    return shown.select("id", *[c.alias(n) for n, c in columns.items()])
 
 
 def connection_signature(mounts: DataFrame) -> DataFrame:

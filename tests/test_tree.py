@@ -82,6 +82,23 @@ def test_cycles_end(spark):
     assert got == {(1, 1), (1, 2), (2, 2), (2, 1), (3, 3), (3, 1), (3, 2), (4, 4)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_closures_of_any_links(spark, seed):
+    rng = random.Random(seed)
+    parent = {i: rng.choice([None, *range(1, 40), 99]) if rng.random() < 0.3 else rng.randrange(1, 40) for i in range(1, 40)}
+    gone = set(rng.sample(range(1, 40), 4))
+    want = set()
+    for i in parent.keys() - gone:
+        at, steps, met = i, 0, set()
+        while at in parent and at not in gone and at not in met:
+            want.add((i, at, steps))
+            met.add(at)
+            at, steps = parent[at], steps + 1
+    folders = [folder(i, p, f"f{i}", missing=int(i in gone)) for i, p in parent.items()]
+    got = [tuple(r) for r in tree.ancestor_closure(make(spark, "folders", folders)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_a_deep_chain(spark):
     folders = [folder(i, i - 1 if i > 1 else None, f"d{i}") for i in range(1, 26)]
     assert tree.ancestor_closure(make(spark, "folders", folders)).count() == 25 * 26 // 2
