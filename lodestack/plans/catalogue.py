@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import catalogue as fn
 from lodestack.functions.text import strip
 from lodestack.operators import browse, changes, search, snapshots, stats, tree, volumes
+from lodestack.operators import register as entries
 from lodestack.sources.tables import table
 
 SEEN = datetime(2024, 5, 1)
@@ -260,6 +261,126 @@ def search_connected(spark, d):
     return search.with_connection(_search("minutes")(spark, d), connected_volumes(spark, d)).select("item_type", "item_id", "volume_id", "connected", "found_path")
 
 
+def connected_checked(spark, d):
+    """As ``connected_volumes``, where half of the paths exist, with what saved paths lie on: every fourth on its own drive."""
+    vols = table(spark, d, "volumes")
+    mounts = vols.where("id % 3 = 0").select(F.col("id").alias("ordinal"), F.concat(F.lit("/mnt/"), "id").alias("mount_root"), "identity_kind", "identity_token")
+    existing = volumes.connected_volumes(vols, mounts).where("id % 2 = 0").select(F.col("found_path").alias("path"))
+    captured = vols.where("id % 4 < 2").select("source_path", "identity_kind", F.when(F.col("id") % 4 == 0, F.upper("identity_token")).otherwise("other").alias("identity_token"))
+    return volumes.connected_volumes(vols, mounts, existing, captured)
+
+
+def item_paths(spark, d):
+    """Where every file is now, if its volume is connected."""
+    files = stats.one_of_each(table(spark, d, "files").select("id", "volume_id", "relative_path"))
+    return volumes.physical_paths(files, connected_volumes(spark, d)).select("id", "physical_path", "available")
+
+
+def volume_table(spark, d):
+    return volumes.volume_table(view(spark, d), connected_volumes(spark, d))
+
+
+def mount_signature(spark, d):
+    """The signature of what is plugged in, as one text."""
+    mounts = table(spark, d, "volumes").where("id % 3 = 0").select(F.upper("identity_kind").alias("identity_kind"), "identity_token", F.concat(F.lit("/Mnt/"), "id").alias("mount_root"))
+    each = F.transform("signature", lambda m: F.concat_ws(":", m["identity_kind"], m["identity_token"], m["mount_root"]))
+    return volumes.connection_signature(mounts).select(F.array_join(each, ";").alias("signature"))
+
+
+def backfill_register(spark, d):
+    """Every third volume had no entry."""
+    filled = volumes.backfill_register(table(spark, d, "volumes"), register(spark, d).where("volume_id % 3 <> 0"))
+    return filled.select("volume_id", "drive_id", "status", "is_mirror")
+
+
+def create_volumes(spark, d):
+    """Three volumes more, the third with a drive id of its own."""
+    new = spark.createDataFrame([("  ", " /a ", " k ", "", None), ("Zed", "/z", " k ", " t ", None), ("Beta", "/b", None, None, "SHELF-1")], "name string, source_path string, identity_kind string, identity_token string, drive_id string")
+    vols, reg = entries.create_volumes(table(spark, d, "volumes"), register(spark, d), new, SEEN)
+    chosen = vols.select("id", "name", "source_path", "identity_kind", "identity_token", "capacity_bytes", F.col("created_at").alias("made"))
+    return chosen.join(reg.select(F.col("volume_id").alias("id"), "drive_id", "is_mirror", F.col("date_added").cast("string").alias("date_added")), "id")
+
+
+def upsert_register(spark, d):
+    """Entries for every fourth volume, some of them mirrors, and for one that had none."""
+    given = register(spark, d).where("volume_id % 4 = 0").select("volume_id", F.when(F.col("volume_id") % 8 == 0, F.col("drive_id")).alias("drive_id"), (F.col("volume_id") % 8 == 0).cast("int").alias("is_mirror"), F.lit(1).cast("bigint").alias("master_volume_id"), F.lit(" ").alias("condition"), F.lit("2020-02-02").cast("date").alias("date_added"))
+    known = register(spark, d).where("volume_id <> 12")
+    out = entries.upsert_register(known, given, SEEN)
+    return out.select("volume_id", "drive_id", "is_mirror", "master_volume_id", "condition", F.col("date_added").cast("string").alias("date_added"), "updated_at")
+
+
+def register_violations(spark, d):
+    """What is wrong after dates, drive ids and masters of some entries have been bent; names that repeat are found too."""
+    v, day = F.col("volume_id"), F.lit("2001-01-01").cast("date")
+    bent = register(spark, d).where("volume_id <> 3").withColumns(
+        {
+            "drive_id": F.when(v % 10 == 1, "aid-050").when(v % 10 == 2, " ").otherwise(F.col("drive_id")),
+            "retired_date": F.when(v % 7 == 0, day),
+            "mirror_date": F.when(v % 9 == 0, day),
+            "earliest_content_date": F.when(v % 11 == 0, F.date_add(day, 1)),
+            "latest_content_date": day,
+            "master_volume_id": F.when(v == 9, v).otherwise(F.col("master_volume_id")),
+        }
+    )
+    return entries.register_violations(table(spark, d, "volumes").withColumn("name", F.when(F.col("id") < 4, "Same").otherwise(F.col("name"))), bent)
+
+
+def update_location(spark, d):
+    vols = changes.update_location(table(spark, d, "volumes"), 5, "  /new/place ", {"identity_kind": " uuid ", "identity_token": " ", "source_relative_path": "sub"}, SEEN)
+    vols = changes.update_location(vols, 6, None, {"identity_kind": " uuid ", "identity_token": " q "}, SEEN)
+    vols = changes.update_storage(vols, 7, 10, 4, 6, SEEN)
+    return vols.select("id", "source_path", "identity_kind", "identity_token", "source_relative_path", "capacity_bytes", "last_scan_at", "updated_at")
+
+
+def item_lookup(spark, d):
+    """A file and a folder by id, a folder by its path, and a volume's root."""
+    files, folders = table(spark, d, "files"), table(spark, d, "folders")
+    found = {"file": browse.by_id(files, 1000), "folder": browse.by_id(folders, 449), "path": browse.folder_by_path(folders, 29, f"/{folders.where('id = 449').first()['relative_path']}/"), "root": browse.root_folder(folders, 29)}
+    parts = [df.select(F.lit(kind).alias("found_by"), "id", "volume_id", "name", "relative_path") for kind, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def stats_rewrite(spark, d):
+    """The folders with their statistics rebuilt."""
+    names = ["recursive_size_bytes", "recursive_file_count", "recursive_subfolder_count", "direct_file_count", "direct_subfolder_count"]
+    return tree.with_statistics(table(spark, d, "folders"), table(spark, d, "files"), SEEN).select("id", "missing", *names, "stats_updated_at").distinct()
+
+
+def prune_history_limit(spark, d):
+    """Retention with its own limit, over a history in which every scan stands fifty times."""
+    many = table(spark, d, "scan_history").select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n")).withColumn("id", F.col("id") * 50 + F.col("n"))
+    return stats.prune_history(many).select("id", "volume_id")
+
+
+def suggested_ids(spark, d):
+    label = F.when(F.col("id") % 3 == 0, F.format_string(" aid-%03d ", "id")).when(F.col("id") % 3 == 1, F.format_string("AID-%d", "id")).otherwise(F.col("name"))
+    return table(spark, d, "volumes").select("id", fn.suggested_drive_id(label).alias("suggested"))
+
+
+def iso_dates(spark, d):
+    """Days of files written in several ways, read again."""
+    at, kind = F.col("modified_at"), F.col("id") % 6
+    text = F.when(kind == 0, F.date_format(at, "yyyy-MM-dd")).when(kind == 1, F.date_format(at, " yyyyMMdd ")).when(kind == 2, F.date_format(at, "yyyy-M-d")).when(kind == 3, F.concat(F.date_format(at, "yyyy-MM"), F.lit("-31"))).when(kind == 4, " ")
+    return table(spark, d, "files").select("id", fn.iso_date(text).cast("string").alias("day")).distinct()
+
+
+def parsed_times(spark, d):
+    """Times written as they are stored and read again; every fifth is damaged."""
+    text = F.when(F.col("id") % 5 == 0, F.lit("2020-13-01T00:00:00.000000+0000")).otherwise(fn.time_text(F.col("modified_at")))
+    back = F.convert_timezone(F.current_timezone(), F.lit("UTC"), fn.parse_time(text).cast("timestamp_ntz"))
+    return table(spark, d, "files").select("id", back.alias("parsed")).distinct()
+
+
+def largest_items(spark, d):
+    """The first of the files by size, largest first, in the order of a table's column."""
+    return browse.sort_items(stats.one_of_each(table(spark, d, "files").select("id", "name", "size_bytes")), "size_bytes", True).limit(500)
+
+
+def smallest_items(spark, d):
+    """The first by size upwards: unknown sizes come before known ones."""
+    return browse.sort_items(stats.one_of_each(table(spark, d, "files").select("id", "name", "size_bytes")), "size_bytes").limit(700)
+
+
 def message_counts(spark, d):
     """Scan errors by message without case, surrounding blanks and code."""
     text = F.regexp_replace(F.lower(strip(F.col("message"))), r"\s*\(code \d+\)$", "")
@@ -272,7 +393,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalogue_info, content_dates, volume_counts, duplicate_identities, file_type_counts, ancestor_closure, direct_folder_stats, recursive_folder_stats,
         prune_history, prune_errors, recent_history, recent_errors, error_counts, diff_summary, folder_diff, upsert_files, finalize_files, delete_volume, update_volume,
         list_children, list_files, directory_listing, navigate_path, file_properties, folder_properties, sizes_shown, volume_shown, extension_extract, path_parts,
-        uint64_wrap, timestamp_text, message_counts, scan_log, search_connected,
+        uint64_wrap, timestamp_text, message_counts, scan_log, search_connected, connected_checked, item_paths, volume_table, mount_signature, backfill_register,
+        create_volumes, upsert_register, register_violations, update_location, item_lookup, stats_rewrite, prune_history_limit, suggested_ids, iso_dates, parsed_times,
+        largest_items, smallest_items,
     )
     searches = {
         "search_name": _search("Harbour"),

@@ -70,6 +70,14 @@ d AS (SELECT p.id AS folder_id, coalesce(n, 0) AS direct_file_count, coalesce(s,
       LEFT JOIN (SELECT folder_id, count(*) AS n, sum(size) AS s FROM x GROUP BY 1) a ON a.folder_id = p.id
       LEFT JOIN (SELECT parent_id, count(*) AS k FROM folders WHERE missing = 0 GROUP BY 1) b ON b.parent_id = p.id)
 """
+RECURSIVE = f"""{CLOSURE}, {DIRECT},
+t AS (SELECT ancestor, sum(direct_size) AS size, sum(direct_file_count)::BIGINT AS files, sum(direct_subfolder_count)::BIGINT AS subfolders FROM c JOIN d ON d.folder_id = c.descendant GROUP BY 1),
+l AS (SELECT volume_id, dev, ino, max(size) AS largest FROM x WHERE folder_id IS NOT NULL AND dev IS NOT NULL AND ino IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1),
+e AS (SELECT ancestor, sum((n - 1) * largest) AS excess FROM (
+        SELECT c.ancestor, volume_id, dev, ino, count(*) AS n, max(largest) AS largest FROM x JOIN l USING (volume_id, dev, ino) JOIN c ON c.descendant = x.folder_id GROUP BY 1, 2, 3, 4) GROUP BY 1),
+s AS (SELECT d.folder_id, (t.size - coalesce(e.excess, 0))::BIGINT AS recursive_size_bytes, t.files AS recursive_file_count, t.subfolders AS recursive_subfolder_count,
+  d.direct_file_count, d.direct_subfolder_count, d.direct_size FROM d JOIN t ON t.ancestor = d.folder_id LEFT JOIN e ON e.ancestor = d.folder_id)
+{{select}}"""
 LAST = """
 h AS (SELECT id AS scan_id, volume_id, row_number() OVER (PARTITION BY volume_id ORDER BY started_at DESC, id DESC) AS back FROM scan_history WHERE status = 'completed'),
 s AS (SELECT back, volume_id, relative_path, size_bytes, modified_at FROM (
@@ -135,13 +143,10 @@ FROM x WHERE folder_id IS NOT NULL AND dev IS NOT NULL AND ino IS NOT NULL GROUP
         "file_type_counts": f"SELECT {type_case('extension', 0)} AS type_label, {type_case('extension', 1)} AS category, count(*) AS file_count, sum({SIZE})::BIGINT AS total_bytes FROM (SELECT DISTINCT id, extension, size_bytes FROM files) GROUP BY 1, 2",
         "ancestor_closure": f"{CLOSURE} SELECT descendant, ancestor, steps FROM c",
         "direct_folder_stats": f"WITH {DIRECT} SELECT * FROM d",
-        "recursive_folder_stats": f"""{CLOSURE}, {DIRECT},
-t AS (SELECT ancestor, sum(direct_size) AS size, sum(direct_file_count)::BIGINT AS files, sum(direct_subfolder_count)::BIGINT AS subfolders FROM c JOIN d ON d.folder_id = c.descendant GROUP BY 1),
-l AS (SELECT volume_id, dev, ino, max(size) AS largest FROM x WHERE folder_id IS NOT NULL AND dev IS NOT NULL AND ino IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1),
-e AS (SELECT ancestor, sum((n - 1) * largest) AS excess FROM (
-        SELECT c.ancestor, volume_id, dev, ino, count(*) AS n, max(largest) AS largest FROM x JOIN l USING (volume_id, dev, ino) JOIN c ON c.descendant = x.folder_id GROUP BY 1, 2, 3, 4) GROUP BY 1)
-SELECT d.folder_id, (t.size - coalesce(e.excess, 0))::BIGINT AS recursive_size_bytes, t.files AS recursive_file_count, t.subfolders AS recursive_subfolder_count,
-  d.direct_file_count, d.direct_subfolder_count, d.direct_size FROM d JOIN t ON t.ancestor = d.folder_id LEFT JOIN e ON e.ancestor = d.folder_id""",
+        "recursive_folder_stats": RECURSIVE.format(select="SELECT * FROM s"),
+        "stats_rewrite": RECURSIVE.format(
+            select="SELECT DISTINCT f.id, f.missing, s.recursive_size_bytes, s.recursive_file_count, s.recursive_subfolder_count, s.direct_file_count, s.direct_subfolder_count, CASE WHEN s.folder_id IS NOT NULL THEN TIMESTAMP '2024-05-01' END AS stats_updated_at FROM folders f LEFT JOIN s ON s.folder_id = f.id"
+        ),
         "prune_history": "SELECT id, volume_id, status FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY id DESC) AS n FROM scan_history) WHERE n <= 3",
         "prune_errors": """SELECT id, scan_id, volume_id, path FROM scan_errors WHERE scan_id IS NULL OR scan_id NOT IN (
   SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY volume_id ORDER BY id DESC) AS n FROM scan_history) WHERE n > 3)""",
@@ -189,5 +194,55 @@ WHERE volume_id = 29 AND (relative_path = '' OR relative_path = p OR starts_with
         "uint64_wrap": """WITH x AS (SELECT id, identity_inode::HUGEINT * 2 AS v FROM files)
 SELECT DISTINCT id, CASE WHEN v <= 0 OR v >= 18446744073709551616 THEN NULL WHEN v < 9223372036854775808 THEN v ELSE v - 18446744073709551616 END::VARCHAR AS wrapped FROM x""",
         "timestamp_text": "SELECT DISTINCT id, strftime(modified_at, '%Y-%m-%dT%H:%M:%S.%f') || '+0000' AS stored, modified_at::DATE::VARCHAR AS day FROM files",
+        "connected_checked": """
+WITH k AS (SELECT identity_kind, lower(identity_token) AS token, '/mnt/' || min(id) AS mount_root FROM volumes WHERE id % 3 = 0 AND identity_token <> '' AND identity_kind <> '' GROUP BY 1, 2),
+m AS (SELECT v.*, mount_root, mount_root || coalesce('/' || nullif(nullif(trim(v.source_relative_path, '/'), ''), '.'), '') AS path FROM volumes v LEFT JOIN k ON k.identity_kind = v.identity_kind AND k.token = lower(v.identity_token)),
+p AS (SELECT *, CASE WHEN path IN (SELECT path FROM m WHERE id % 2 = 0) THEN path WHEN mount_root IS NULL AND id % 4 = 0 AND identity_kind <> '' AND identity_token <> '' THEN source_path END AS found FROM m)
+SELECT id, CASE WHEN found IS NOT NULL THEN mount_root END AS mount_root, found AS found_path, found IS NOT NULL AS connected FROM p""",
+        "item_paths": f"WITH c AS ({CONNECTED}) SELECT DISTINCT f.id, c.found_path || '/' || f.relative_path AS physical_path, coalesce(c.connected, false) AS available FROM files f LEFT JOIN c ON c.id = f.volume_id",
+        "volume_table": f"""WITH {REGISTER}, c AS ({CONNECTED})
+SELECT v.id, r.drive_id, coalesce(nullif(v.name, ''), '-') AS name, coalesce(nullif(v.source_path, ''), '-') AS source_path, 'Active' AS status, 'Good' AS condition, '-' AS description, 'USB' AS connector,
+  CASE WHEN c.connected THEN 'Connected' ELSE 'Offline' END AS connection, CASE WHEN r.is_mirror = 1 THEN 'Yes' ELSE 'No' END AS mirror,
+  CASE WHEN r.is_mirror = 1 THEN mr.drive_id || coalesce(' - ' || nullif(m.name, ''), '') ELSE '-' END AS master_drive, r.date_added::VARCHAR AS date_added, '-' AS earliest_content, '-' AS latest_content,
+  '-' AS retired_date, '-' AS mirror_date, {size_text('v.capacity_bytes')} AS capacity, {size_text('v.used_bytes')} AS used, {size_text('v.free_bytes')} AS free,
+  CASE WHEN v.capacity_bytes = 0 THEN 0 ELSE least(100, greatest(0, round_even(v.used_bytes / v.capacity_bytes * 100, 0)))::INT END || '%' AS full,
+  format('{{:,}}', v.indexed_file_count) AS files, format('{{:,}}', v.indexed_folder_count) AS folders, coalesce(strftime(v.last_scan_at, '%Y-%m-%d %H:%M'), '-') AS last_scan
+FROM volumes v JOIN r ON r.volume_id = v.id JOIN c ON c.id = v.id {master}""",
+        "mount_signature": """SELECT string_agg(k || ':' || t || ':/mnt/' || id, ';' ORDER BY k, t, '/mnt/' || id) AS signature
+FROM (SELECT id, lower(trim(identity_kind)) AS k, lower(trim(identity_token)) AS t FROM volumes WHERE id % 3 = 0) WHERE k <> '' AND t <> ''""",
+        "backfill_register": f"""WITH {REGISTER}, h AS (SELECT max(volume_id) AS top FROM r WHERE volume_id % 3 <> 0)
+SELECT volume_id, drive_id, 'Active' AS status, is_mirror FROM r WHERE volume_id % 3 <> 0
+UNION ALL SELECT volume_id, format('AID-{{:03d}}', top + row_number() OVER (ORDER BY volume_id)), 'Active', 0 FROM r, h WHERE volume_id % 3 = 0""",
+        "create_volumes": f"""WITH {REGISTER}, n AS (SELECT max(id) AS top FROM volumes)
+SELECT id, name, source_path, identity_kind, identity_token, capacity_bytes, created_at AS made, drive_id, is_mirror, date_added::VARCHAR AS date_added FROM volumes JOIN r ON volume_id = id
+UNION ALL SELECT top + k, name, path, kind, token, 0, TIMESTAMP '2024-05-01', coalesce(drive, format('AID-{{:03d}}', top + d)), 0, '2024-05-01' FROM n,
+  (VALUES (1, 1, NULL, '/a', '', '', NULL), (2, NULL, 'Beta', '/b', '', '', 'SHELF-1'), (3, 2, 'Zed', '/z', 'k', 't', NULL)) AS x(k, d, name, path, kind, token, drive)""",
+        "upsert_register": f"""WITH {REGISTER}, e AS (SELECT volume_id, volume_id % 8 = 0 AS given, sum((volume_id % 8 <> 0)::INT) OVER (ORDER BY volume_id) AS k FROM r WHERE volume_id % 4 = 0)
+SELECT volume_id, drive_id, is_mirror, master_volume_id, 'Good' AS condition, date_added::VARCHAR AS date_added, (SELECT updated_at FROM volumes WHERE id = volume_id) AS updated_at FROM r WHERE volume_id % 4 <> 0
+UNION ALL SELECT volume_id, CASE WHEN given THEN format('AID-{{:03d}}', volume_id) ELSE format('AID-{{:03d}}', (SELECT max(volume_id) FROM r)::BIGINT + k::BIGINT) END, given::INT, CASE WHEN given THEN 1 END, 'Unknown', '2020-02-02', TIMESTAMP '2024-05-01' FROM e""",
+        "register_violations": f"""WITH {REGISTER}, b AS (SELECT volume_id, is_mirror, date_added, CASE WHEN volume_id = 9 THEN 9 ELSE master_volume_id END AS m,
+  CASE WHEN volume_id % 10 = 1 THEN 'aid-050' WHEN volume_id % 10 = 2 THEN ' ' ELSE drive_id END AS drive FROM r WHERE volume_id <> 3),
+n AS (SELECT id, CASE WHEN id < 4 THEN 'Same' ELSE name END AS name FROM volumes)
+SELECT volume_id, 'content dates reversed' AS violation FROM b WHERE volume_id % 11 = 0
+UNION ALL SELECT volume_id, 'retired before it was added' FROM b WHERE volume_id % 7 = 0 AND date_added > DATE '2001-01-01'
+UNION ALL SELECT volume_id, 'mirrored before it was added' FROM b WHERE volume_id % 9 = 0 AND date_added > DATE '2001-01-01'
+UNION ALL SELECT volume_id, 'no drive id' FROM b WHERE trim(drive) = ''
+UNION ALL SELECT volume_id, 'drive id taken' FROM b WHERE lower(drive) IN (SELECT lower(drive) FROM b GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT id, 'name taken' FROM n WHERE lower(name) IN (SELECT lower(name) FROM n WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 3, 'no entry'
+UNION ALL SELECT * FROM (SELECT b.volume_id, CASE WHEN b.m = b.volume_id THEN 'own master' WHEN o.volume_id IS NULL THEN 'unknown master' WHEN o.is_mirror = 1 THEN 'master is a mirror' END AS v FROM b LEFT JOIN b AS o ON o.volume_id = b.m WHERE b.is_mirror = 1) WHERE v IS NOT NULL""",
+        "update_location": """SELECT id, CASE id WHEN 5 THEN '/new/place' WHEN 6 THEN '' ELSE source_path END AS source_path, CASE id WHEN 5 THEN '' WHEN 6 THEN 'uuid' ELSE identity_kind END AS identity_kind,
+  CASE id WHEN 5 THEN '' WHEN 6 THEN 'q' ELSE identity_token END AS identity_token, CASE id WHEN 5 THEN 'sub' WHEN 6 THEN '' ELSE source_relative_path END AS source_relative_path,
+  CASE id WHEN 7 THEN 10 ELSE capacity_bytes END AS capacity_bytes, last_scan_at, CASE WHEN id IN (5, 6, 7) THEN TIMESTAMP '2024-05-01' ELSE updated_at END AS updated_at FROM volumes""",
+        "item_lookup": """SELECT DISTINCT 'file' AS found_by, id, volume_id, name, relative_path FROM files WHERE id = 1000 UNION ALL SELECT 'folder', id, volume_id, name, relative_path FROM folders WHERE id = 449
+UNION ALL SELECT 'path', id, volume_id, name, relative_path FROM folders WHERE volume_id = 29 AND relative_path = (SELECT relative_path FROM folders WHERE id = 449)
+UNION ALL SELECT 'root', id, volume_id, name, relative_path FROM folders WHERE volume_id = 29 AND relative_path = ''""",
+        "prune_history_limit": """SELECT id, volume_id FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY id DESC) AS place FROM (SELECT id * 50 + n AS id, volume_id FROM scan_history, range(50) AS t(n))) WHERE place <= 100""",
+        "suggested_ids": """SELECT id, CASE WHEN id % 3 = 0 THEN format('AID-{:03d}', id) WHEN id % 3 = 1 AND id >= 100 THEN 'AID-' || id WHEN id % 3 = 2 AND regexp_matches(trim(name), '^(?i:AID)-[0-9]{3,}$') THEN upper(trim(name)) END AS suggested FROM volumes""",
+        "iso_dates": """SELECT DISTINCT id, CASE WHEN id % 6 < 2 OR (id % 6 = 2 AND month(modified_at) > 9 AND day(modified_at) > 9) THEN strftime(modified_at, '%Y-%m-%d')
+  WHEN id % 6 = 3 AND month(modified_at) IN (1, 3, 5, 7, 8, 10, 12) THEN strftime(modified_at, '%Y-%m') || '-31' END AS day FROM files""",
+        "parsed_times": "SELECT DISTINCT id, CASE WHEN id % 5 <> 0 THEN modified_at END AS parsed FROM files",
+        "largest_items": "SELECT id, name, size_bytes FROM (SELECT DISTINCT id, name, size_bytes FROM files) ORDER BY coalesce(size_bytes, -1) DESC, id LIMIT 500",
+        "smallest_items": "SELECT id, name, size_bytes FROM (SELECT DISTINCT id, name, size_bytes FROM files) ORDER BY coalesce(size_bytes, -1), id LIMIT 700",
         "message_counts": r"SELECT regexp_replace(lower(regexp_replace(message, '^\s+|\s+$', '', 'g')), '\s*\(code \d+\)$', '') AS message, count(*) AS n FROM (SELECT DISTINCT * FROM scan_errors) GROUP BY 1",
     }
