@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm.characters import INVISIBLE, as_class
+from lodestack.session import write_once
 
 #: Characters of item text in one broadcast block.
 BLOCK_CHARS = 4_000_000
@@ -168,7 +169,15 @@ def leaked_spans(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
         return run
 
     narrow = docs.where(F.col(text).isNotNull()).select(doc, text)
-    parts = [narrow.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(items, item, item_text, n, _block_count(items, item_text))]
+    count, parts = _block_count(items, item_text), []
+    for block in _blocks(items, item, item_text, n, count):
+        sent = spark.sparkContext.broadcast(block)
+        found = narrow.mapInArrow(scan(sent), schema)
+        if count > 1:
+            # One block at a time is on the driver and the executors; what it found is written before the next is made.
+            found = write_once(found, "spans")
+            sent.destroy()
+        parts.append(found)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

