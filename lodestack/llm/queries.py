@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.catalogue import extension_of, last_segment
@@ -90,13 +90,13 @@ def p2_error_bound(spark: SparkSession, d: str) -> DataFrame:
     sized = _sized(spark, d).where("extension IS NOT NULL")
     buffers = percentiles.sketch(sized, pair, F.col("size_bytes"), ["id"], SMALL_BUFFER)
     found = percentiles.percentiles(percentiles.combine(buffers.drop("volume_id"), ["extension"], SMALL_BUFFER), ["extension"], SHARES)
-    counted = sized.select("extension", "id", "size_bytes").distinct().groupBy("extension", "size_bytes").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("extension").orderBy("size_bytes")  # different sizes of an extension
-    ranked = counted.select("extension", F.col("size_bytes").alias("value"), F.sum("n").over(run).alias("upto"), "n")
-    joined = write_once(found, "percentiles").join(ranked, ["extension", "value"])
-    asked = F.greatest(F.ceil(F.col("share") * F.col("rows")), F.lit(1))
-    off = F.greatest(F.col("upto") - F.col("n") + 1 - asked, asked - F.col("upto"), F.lit(0))
-    return joined.select("extension", "share", F.col("rows").cast("bigint").alias("file_count"), (F.col("rank_error") > 0).alias("collapsed"), (off <= F.col("rank_error")).alias("within"))
+    asked = write_once(found, "percentiles").groupBy("extension").agg(F.collect_list(F.struct("share", "value", "rows", "rank_error")).alias("asked"))  # one row per share
+    each = sized.select("extension", "id", "size_bytes").distinct().join(asked, "extension").select("extension", "size_bytes", F.explode("asked").alias("a"))
+    counts = [F.count_if(F.col("size_bytes") < F.col("a.value")).alias("below"), F.count_if(F.col("size_bytes") <= F.col("a.value")).alias("upto")]
+    ranked = each.groupBy("extension", "a.share", "a.rows", "a.rank_error").agg(*counts)
+    rank = F.greatest(F.ceil(F.col("share") * F.col("rows")), F.lit(1))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0))
+    return ranked.select("extension", "share", F.col("rows").cast("bigint").alias("file_count"), (F.col("rank_error") > 0).alias("collapsed"), (off <= F.col("rank_error")).alias("within"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
