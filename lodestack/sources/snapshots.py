@@ -61,6 +61,11 @@ class SnapshotStore:
         )
         return self.spark.table(name)
 
+    def close(self) -> None:
+        """Forget the tables' names in the session's catalogue; the files stay."""
+        for row in self.spark.sql("SHOW TABLES LIKE 'lodestack_*'").collect():
+            self.spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
+
     def _order(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(rows, schema))
 

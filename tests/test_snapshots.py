@@ -173,6 +173,7 @@ def test_a_merge_reads_sorted_ranges_and_shuffles_nothing(spark, monkeypatch):
     plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Bucketed: true") == 2 and "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
     assert kept.state().count() == 1000 and len(kept.ranges.cuts) == 3
+    kept.close()
     assert kept.vacuum(0) >= 2 and kept.state().count() == 1000
 
 
