@@ -371,6 +371,34 @@ def parsed_times(spark, d):
     return table(spark, d, "files").select("id", back.alias("parsed")).distinct()
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """The rows with their ``place`` in the order that they come in: a listing's, which is shown whole."""
+    return df.withColumn("__n", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__n"))).drop("__n")
+
+
+def volumes_in_order(spark, d):
+    return in_order(view(spark, d)).select("place", "id")
+
+
+def masters_in_order(spark, d):
+    return in_order(volumes.master_options(view(spark, d))).select("place", "id")
+
+
+def children_in_order(spark, d):
+    folders = table(spark, d, "folders")
+    return in_order(browse.child_folders(folders, 29, folders.where("volume_id = 29 AND relative_path = ''").first()["id"])).select("place", "id")
+
+
+def listing_in_order(spark, d):
+    """A folder's listing by size, largest first, and by name."""
+    parts = [in_order(browse.directory_listing(table(spark, d, "folders"), table(spark, d, "files"), 449, c, c == "size_bytes")).select(F.lit(c).alias("sorted_by"), "place", "item_type", "item_id") for c in ("size_bytes", "name")]
+    return parts[0].unionByName(parts[1])
+
+
+def hits_in_order(spark, d):
+    return in_order(_search("Harbour")(spark, d)).select("place", "item_type", "item_id")
+
+
 def largest_items(spark, d):
     """The first of the files by size, largest first, in the order of a table's column."""
     return browse.sort_items(stats.one_of_each(table(spark, d, "files").select("id", "name", "size_bytes")), "size_bytes", True).limit(500)
@@ -395,7 +423,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         list_children, list_files, directory_listing, navigate_path, file_properties, folder_properties, sizes_shown, volume_shown, extension_extract, path_parts,
         uint64_wrap, timestamp_text, message_counts, scan_log, search_connected, connected_checked, item_paths, volume_table, mount_signature, backfill_register,
         create_volumes, upsert_register, register_violations, update_location, item_lookup, stats_rewrite, prune_history_limit, suggested_ids, iso_dates, parsed_times,
-        largest_items, smallest_items,
+        largest_items, smallest_items, volumes_in_order, masters_in_order, children_in_order, listing_in_order, hits_in_order,
     )
     searches = {
         "search_name": _search("Harbour"),

@@ -243,6 +243,14 @@ UNION ALL SELECT 'root', id, volume_id, name, relative_path FROM folders WHERE v
   WHEN id % 6 = 3 AND month(modified_at) IN (1, 3, 5, 7, 8, 10, 12) THEN strftime(modified_at, '%Y-%m') || '-31' END AS day FROM files""",
         "parsed_times": "SELECT DISTINCT id, CASE WHEN id % 5 <> 0 THEN modified_at END AS parsed FROM files",
         "largest_items": "SELECT id, name, size_bytes FROM (SELECT DISTINCT id, name, size_bytes FROM files) ORDER BY coalesce(size_bytes, -1) DESC, id LIMIT 500",
+        "volumes_in_order": f"SELECT row_number() OVER (ORDER BY {LOW.format('name')} NULLS FIRST, id)::INT AS place, id FROM volumes",
+        "masters_in_order": f"WITH {REGISTER} SELECT row_number() OVER (ORDER BY lower(drive_id), {LOW.format('name')} NULLS FIRST)::INT AS place, id FROM volumes JOIN r ON volume_id = id WHERE is_mirror = 0",
+        "children_in_order": f"SELECT row_number() OVER (ORDER BY {LOW.format('name')} NULLS FIRST, id)::INT AS place, id FROM folders WHERE parent_id = (SELECT id FROM folders WHERE volume_id = 29 AND relative_path = '')",
+        "listing_in_order": """WITH l AS (SELECT 0 AS position, 'folder' AS item_type, p.id, '..' AS name, NULL::BIGINT AS size FROM folders c JOIN folders p ON p.id = c.parent_id WHERE c.id = 449
+  UNION ALL SELECT 1, 'folder', id, name, recursive_size_bytes FROM folders WHERE parent_id = 449 UNION ALL SELECT DISTINCT 2, 'file', id, name, size_bytes FROM files WHERE folder_id = 449)
+SELECT 'size_bytes' AS sorted_by, row_number() OVER (ORDER BY position, coalesce(size, -1) DESC, id)::INT AS place, item_type, id AS item_id FROM l
+UNION ALL SELECT 'name', row_number() OVER (ORDER BY position, lower(coalesce(name, '')), id)::INT, item_type, id FROM l""",
+        "hits_in_order": f"""SELECT row_number() OVER (ORDER BY match_rank, missing_rank, item_type DESC, {LOW.format('name')} NULLS FIRST, item_id)::INT AS place, item_type, item_id FROM ({search('Harbour')})""",
         "smallest_items": "SELECT id, name, size_bytes FROM (SELECT DISTINCT id, name, size_bytes FROM files) ORDER BY coalesce(size_bytes, -1), id LIMIT 700",
         "message_counts": r"SELECT regexp_replace(lower(regexp_replace(message, '^\s+|\s+$', '', 'g')), '\s*\(code \d+\)$', '') AS message, count(*) AS n FROM (SELECT DISTINCT * FROM scan_errors) GROUP BY 1",
     }

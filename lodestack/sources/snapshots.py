@@ -33,7 +33,7 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str, *, snapshot: str, group: str, key: str, compare: Sequence[str], newest_by: str, absent: str | None = None, ranges: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.snapshot, self.group, self.key, self.compare, self.newest_by, self.absent = snapshot, group, key, list(compare), newest_by, absent
-        self._wanted = ranges or parallelism(spark)
+        self._wanted, self.names = ranges or parallelism(spark), set()
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.reload()
 
@@ -56,15 +56,17 @@ class SnapshotStore:
     def _stored(self, folder: str) -> DataFrame:
         """The rows of a folder as the buckets and in the order that they were written in."""
         name = f"lodestack_{folder}"
+        self.names.add(name)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({self.columns}) USING parquet CLUSTERED BY (__range) SORTED BY (__g, c_{self.key}) INTO {self.ranges.number()} BUCKETS LOCATION '{self.path}/data/{folder}'"
         )
         return self.spark.table(name)
 
     def close(self) -> None:
-        """Forget the tables' names in the session's catalogue; the files stay."""
-        for row in self.spark.sql("SHOW TABLES LIKE 'lodestack_*'").collect():
-            self.spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
+        """Forget this store's tables in the session's catalogue; the files stay."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
 
     def _order(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(rows, schema))
