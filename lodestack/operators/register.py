@@ -92,6 +92,15 @@ def upsert_register(register: DataFrame, entries: DataFrame, now: datetime) -> D
     return register.join(one.select("volume_id"), "volume_id", "left_anti").select(*register.columns).unionByName(fresh.select(*register.columns))
 
 
+def fill_content_dates(register: DataFrame, dates: DataFrame) -> DataFrame:
+    """The register with content dates that were found (``volume_id, earliest, latest``) where an entry has none; dates
+    that it has stay."""
+    found = dates.select("volume_id", F.col("earliest").alias("__e"), F.col("latest").alias("__l"))
+    joined = register.join(found, "volume_id", "left")
+    filled = {"earliest_content_date": F.coalesce("earliest_content_date", "__e"), "latest_content_date": F.coalesce("latest_content_date", "__l")}
+    return joined.withColumns(filled).select(*register.columns)
+
+
 def register_violations(volumes: DataFrame, register: DataFrame) -> DataFrame:
     """``volume_id, violation``: entries whose dates are out of order, whose drive id is blank or not the only one, whose
     volume is unknown or has no entry, volumes with the name of another (without ASCII case), and what mirrors break.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.catalogue import category, display_time, format_size, size_delta, type_label
+from lodestack.functions.catalogue import category, display_count, display_time, format_size, size_delta, type_label
 from lodestack.operators.tree import unknown_as_zero
 
 
@@ -33,6 +33,14 @@ def catalogue_info(volumes: DataFrame, folders: DataFrame, files: DataFrame, his
     return v.crossJoin(f).crossJoin(d).crossJoin(s)  # one row each
 
 
+def info_shown(info: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The totals of ``catalogue_info`` as they are shown: sizes with their unit, counts in groups of three digits."""
+    sizes = ["used_bytes", "capacity_bytes", "free_bytes", "indexed_size_bytes"]
+    counts = ["volume_count", "file_count", "folder_count", "missing_file_count", "missing_folder_count", "scan_count"]
+    shown = [display_count(F.col(c)).alias(c.removesuffix("_count")) for c in counts] + [format_size(F.col(c)).alias(c.removesuffix("_bytes")) for c in sizes]
+    return info.select(*shown, display_time(F.col("latest_scan_at"), zone).alias("latest_scan"))
+
+
 def content_dates(files: DataFrame, folders: DataFrame) -> DataFrame:
     """``volume_id, earliest, latest``: UTC dates of the present items' modification times."""
     dated = [x.where("missing = 0 AND modified_at IS NOT NULL").select("volume_id", F.to_date("modified_at").alias("day")) for x in (files, folders)]

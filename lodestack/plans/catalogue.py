@@ -93,6 +93,17 @@ def catalogue_info(spark, d):
     return stats.catalogue_info(*[table(spark, d, n) for n in ("volumes", "folders", "files", "scan_history")])
 
 
+def info_shown(spark, d):
+    return stats.info_shown(catalogue_info(spark, d))
+
+
+def filled_dates(spark, d):
+    """Content dates found in the files, where the register has none; every third entry has a first date."""
+    known = register(spark, d).withColumn("earliest_content_date", F.when(F.col("volume_id") % 3 == 0, F.lit("2001-01-01").cast("date")))
+    filled = entries.fill_content_dates(known, stats.content_dates(table(spark, d, "files"), table(spark, d, "folders")))
+    return filled.select("volume_id", *[F.col(c).cast("string").alias(c) for c in ("earliest_content_date", "latest_content_date")])
+
+
 def content_dates(spark, d):
     dates = stats.content_dates(table(spark, d, "files"), table(spark, d, "folders"))
     return dates.select("volume_id", *[F.col(c).cast("string").alias(c) for c in ("earliest", "latest")])
@@ -418,7 +429,7 @@ def message_counts(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         list_volumes, master_options, mirror_dependents, mirror_violations, next_drive_id, drive_natural_order, volume_filter, connected_volumes, unique_names,
-        catalogue_info, content_dates, volume_counts, duplicate_identities, file_type_counts, ancestor_closure, direct_folder_stats, recursive_folder_stats,
+        catalogue_info, info_shown, filled_dates, content_dates, volume_counts, duplicate_identities, file_type_counts, ancestor_closure, direct_folder_stats, recursive_folder_stats,
         prune_history, prune_errors, recent_history, recent_errors, error_counts, diff_summary, folder_diff, upsert_files, finalize_files, delete_volume, update_volume,
         list_children, list_files, directory_listing, navigate_path, file_properties, folder_properties, sizes_shown, volume_shown, extension_extract, path_parts,
         uint64_wrap, timestamp_text, message_counts, scan_log, search_connected, connected_checked, item_paths, volume_table, mount_signature, backfill_register,

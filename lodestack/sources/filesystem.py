@@ -108,6 +108,18 @@ class FileTree(DataSource):
         return TreeReader(self.options["path"], int(self.options.get("parts", 64)))
 
 
+def captured_identities(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``source_path, identity_kind, identity_token`` of those of a few paths that exist on this machine: the device that
+    each lies on, by its number, links resolved. What ``connected_volumes`` takes as ``captured``."""
+    found = []
+    for path in dict.fromkeys(paths):
+        try:
+            found.append((path, "filesystem-device", str(os.stat(os.path.realpath(os.path.expanduser(path), strict=True)).st_dev)))
+        except OSError:
+            continue
+    return spark.createDataFrame(found, "source_path string, identity_kind string, identity_token string")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(FileTree)
     return spark.read.format("file_tree").option("parts", str(max(64, 4 * spark.sparkContext.defaultParallelism))).load(root)

@@ -48,9 +48,12 @@ class Store:
         finally:
             stream.close()
         try:
-            return json.loads(text)
+            manifest = json.loads(text)
         except ValueError as error:
             raise InvalidCatalogue(f"version {version} of {self.path} can't be read") from error
+        if "highest" not in manifest:
+            raise UnsupportedCatalogue(f"version {version} of {self.path} has an older layout of folders")
+        return manifest
 
     def _read(self, name: str, place: str | dict[str, str], columns: str | None) -> DataFrame:
         folders = [place] if isinstance(place, str) else sorted(place.values())

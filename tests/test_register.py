@@ -102,3 +102,18 @@ def test_connection_looks_at_paths_and_at_saved_places(spark):
     items = spark.createDataFrame([(1, "a/./b"), (1, ""), (2, "a"), (9, "a"), (None, None)], "volume_id bigint, relative_path string")
     paths = volumes.physical_paths(items, volumes.connected_volumes(vols, mounts, existing, captured)).collect()
     assert sorted((r.volume_id or 0, r.physical_path or "", r.available) for r in paths) == [(0, "", False), (1, "/m1/in", True), (1, "/m1/in/a/b", True), (2, "", False), (9, "", False)]
+
+
+def test_found_dates_fill_only_what_is_empty(spark):
+    reg = make(spark, "volume_register", [{"volume_id": 1, "earliest_content_date": date(2000, 1, 1)}, {"volume_id": 2}, {"volume_id": 3}])
+    found = spark.createDataFrame([(1, date(1999, 1, 1), date(2005, 1, 1)), (2, date(1998, 1, 1), None)], "volume_id bigint, earliest date, latest date")
+    got = {r.volume_id: (r.earliest_content_date, r.latest_content_date) for r in register.fill_content_dates(reg, found).collect()}
+    assert got == {1: (date(2000, 1, 1), date(2005, 1, 1)), 2: (date(1998, 1, 1), None), 3: (None, None)}
+
+
+def test_paths_that_exist_are_captured_with_their_device(spark, tmp_path):
+    from lodestack.sources.filesystem import captured_identities
+
+    got = captured_identities(spark, [str(tmp_path), str(tmp_path), str(tmp_path / "none")]).collect()
+    assert [(r.source_path, r.identity_kind, r.identity_token) for r in got] == [(str(tmp_path), "filesystem-device", str(tmp_path.stat().st_dev))]
+    assert captured_identities(spark, []).count() == 0
