@@ -56,6 +56,11 @@ def merge_counts(state: DataFrame, deltas: DataFrame) -> DataFrame:
     return summed.where("occurrences <> 0 OR records <> 0")
 
 
+def _by_bucket(df: DataFrame) -> DataFrame:
+    """The rows of a partition together, divided over several tasks and files where they are many."""
+    return df.hint("rebalance", F.col("bucket"))
+
+
 class TermCounts:
     """Persistent counts in a folder, partitioned by a hash of the term.
 
@@ -114,7 +119,7 @@ class TermCounts:
         if not self.version and not self._publish({}, set()):  # the number of partitions is settled first
             self.reload()
         staged = f"deltas/{uuid.uuid4().hex}"
-        deltas.withColumn("bucket", self.bucket_of()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{staged}")
+        _by_bucket(deltas.withColumn("bucket", self.bucket_of())).write.partitionBy("bucket").parquet(f"{self.path}/{staged}")
         touched = sorted(int(n.partition("=")[2]) for n in self._names(staged) if n.startswith("bucket="))
         kind = "level string, term string, d_occurrences bigint, d_records bigint"
         for _ in range(attempts):
@@ -125,7 +130,7 @@ class TermCounts:
             if touched:
                 moved = self.spark.read.schema(kind).parquet(*[f"{self.path}/{staged}/bucket={b}" for b in touched])
                 merged = merge_counts(self.counts(touched), moved).withColumn("bucket", self.bucket_of())
-                merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+                _by_bucket(merged).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
                 filled = {int(n.partition("=")[2]) for n in self._names(folder) if n.startswith("bucket=")}
                 folders = {b: f for b, f in folders.items() if b not in touched} | dict.fromkeys(filled, folder)
             if self._publish(folders, self.merged | {delivery}):
