@@ -18,6 +18,7 @@ from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.session import parallelism
 
@@ -26,6 +27,8 @@ BROADCAST_SNAPSHOTS = 200_000
 #: Rows that are sampled to place the cuts between ranges, and how often a key must be among them to be collapsed on the
 #: map side. Both decide how the work is divided and nothing else; a key that is missed holds few rows.
 SAMPLE, OFTEN = 4096, 8
+#: Characters of a text key that place a cut.
+PREFIX = 256
 
 
 @dataclass(frozen=True)
@@ -70,21 +73,22 @@ def range_labels(n: int) -> tuple[int, ...]:
     return _labels(n)
 
 
-def survey(rows: DataFrame, snapshot: str, group: str, key: str, n: int, size: int) -> tuple[Ranges, list[tuple]]:
-    """Cuts for about n even ranges, and the (snapshot, key) that occur so often that they are collapsed first.
+def survey(rows: DataFrame, snapshot: str, group: str, key: str, n: int, size: int) -> tuple[Ranges, list[int]]:
+    """Cuts for about n even ranges, and hashes of the (snapshot, key) that occur so often that they are collapsed first.
 
-    One pass over three columns keeps SAMPLE random rows. ``size`` is the table's size in bytes as far as it is known; it
-    only thins out the rows that compete.
+    One pass over three columns keeps SAMPLE random rows, of a text the first PREFIX characters: a prefix cuts as well.
+    ``size`` is the table's size in bytes as far as it is known; it only thins out the rows that compete.
     """
-    drawn = rows.select(F.col(snapshot).alias("s"), F.col(group).alias("g"), F.col(key).alias("k"), F.rand(11).alias("u"))
-    keep = lambda df: [(r["s"], r["g"], r["k"]) for r in df.orderBy("u").limit(SAMPLE).orderBy("g", "k").collect()]
+    start = F.substring(key, 1, PREFIX) if isinstance(rows.schema[key].dataType, T.StringType) else F.col(key)
+    drawn = rows.select(F.xxhash64(snapshot, key).alias("h"), F.col(group).alias("g"), start.alias("k"), F.rand(11).alias("u"))
+    keep = lambda df: [(r["h"], r["g"], r["k"]) for r in df.orderBy("u").limit(SAMPLE).orderBy("g", "k").collect()]
     rate = min(1.0, 32 * SAMPLE * 40 / max(size, 1))
     found = keep(drawn.where(F.col("u") < rate)) if rate < 1 else []
     if len(found) < SAMPLE // 8:  # a small table, or one whose size is not known
         found = keep(drawn)
     cuts = [found[len(found) * i // n][1:] for i in range(1, n)] if found else []
-    seen = Counter((s, k) for s, _, k in found)
-    return Ranges(tuple(dict.fromkeys(cuts))), [pair for pair, times in seen.items() if times >= OFTEN]
+    seen = Counter(h for h, *_ in found)
+    return Ranges(tuple(dict.fromkeys(cuts))), [h for h, times in seen.items() if times >= OFTEN]
 
 
 def bytes_of(df: DataFrame) -> int:
@@ -103,19 +107,18 @@ def latest_reading(df: DataFrame, keys: Sequence[str], newest_by: str, tie_by: S
     return df.withColumn("__reading", F.row_number().over(w)).where("__reading = 1").drop("__reading")
 
 
-def collapse_hot(df: DataFrame, hot: list[tuple], snapshot: str, key: str, same: Sequence[str], newest_by: str, tie_by: Sequence[str]) -> DataFrame:
+def collapse_hot(df: DataFrame, hot: list[int], snapshot: str, key: str, same: Sequence[str], newest_by: str, tie_by: Sequence[str]) -> DataFrame:
     """The rows with those of much repeated (snapshot, key) already settled as ``latest_reading`` would, on the map side.
 
-    A pair that holds a third of all rows would otherwise be one task's work. ``same`` names columns that follow from the
-    snapshot.
+    A pair that holds a third of all rows would otherwise be one task's work. ``hot`` are the pairs' hashes; whatever else
+    has such a hash is settled too, which changes nothing. ``same`` names columns that follow from the snapshot.
     """
     if not hot:
         return df
-    named = df.sparkSession.createDataFrame(hot, df.select(F.col(snapshot).alias("__hot_s"), F.col(key).alias("__hot_k")).schema)
-    match = (F.col(snapshot) == F.col("__hot_s")) & F.col(key).eqNullSafe(F.col("__hot_k"))
+    often = F.xxhash64(snapshot, key).isin(hot)
     newest = F.max(F.struct(newest_by, *tie_by)).alias("__newest")
-    settled = df.join(F.broadcast(named), match, "left_semi").groupBy(snapshot, key, *same).agg(newest).select(snapshot, key, *same, "__newest.*")
-    return df.join(F.broadcast(named), match, "left_anti").unionByName(settled.select(*df.columns))
+    settled = df.where(often).groupBy(snapshot, key, *same).agg(newest).select(snapshot, key, *same, "__newest.*")
+    return df.where(~often).unionByName(settled.select(*df.columns))
 
 
 def differs(left: str, right: str, columns: Sequence[str]) -> Column:

@@ -115,8 +115,11 @@ def test_ranges_are_even_and_in_order(spark):
     assert all(a["high"] < b["low"] for a, b in zip(found, found[1:], strict=False))
 
 
-def test_nulls_lie_in_the_first_ranges():
-    assert s.Ranges(()).number() == 1
+def test_very_long_keys(spark):
+    history = [(1, 1, at(0), "completed"), (2, 1, at(1), "completed")]
+    rows = [(1, 1, "x" * 400_000 + "a", 1, None, 0, at(1)), (2, 1, "x" * 400_000 + "b", 1, None, 0, at(2)), (1, 1, "y" * 300, 1, None, 0, at(1)), (2, 1, "y" * 300, 2, None, 0, at(2))]
+    got = changes(spark, rows * 20, history, ranges=4)
+    assert [(len(p), kind) for _, p, kind in got] == [(400_001, "removed"), (400_001, "added"), (300, "changed")]
 
 
 def test_a_key_with_most_rows_is_collapsed_before_the_shuffle(spark):
