@@ -52,11 +52,17 @@ LETTER = r"[a-zA-Z\p{L}]"
 SENTENCE = LETTER + r"[^.!?]*+(?:[.!?](?![\s\u0085\p{Z}]|\z)[^.!?]*+)*+"
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Words (runs of letters), sentences and words of more than six letters of a text; null has none."""
+def text_words(text: Column) -> Column:
+    """The words of a text (runs of letters) in lower case, in order; none of null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\p{L}]+"), "")
+
+
+def readability(text: Column, words: Column) -> dict[str, Column]:
+    """Words, sentences and words of more than six letters of a text with its ``text_words``; null has none."""
     held = F.coalesce(text, F.lit(""))
-    patterns = {"n_words": LETTER + "+", "n_sentences": SENTENCE, "n_long": LETTER + "{7,}"}
-    return {name: F.regexp_count(held, F.lit(p)) for name, p in patterns.items()}
+    # In lower case this one letter becomes a letter and a mark, which would end the word.
+    counted = F.when(F.contains(held, F.lit("\u0130")), F.regexp_count(held, F.lit(LETTER + "+"))).otherwise(F.size(words))
+    return {"n_words": counted, "n_sentences": F.regexp_count(held, F.lit(SENTENCE)), "n_long": F.regexp_count(held, F.lit(LETTER + "{7,}"))}
 
 
 def lix() -> Column:
@@ -66,8 +72,8 @@ def lix() -> Column:
 
 def document_nodes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc, n_words, n_sentences, n_long, nodes``. A text without words has no nodes."""
-    words = F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z\p{L}]+")), "")
-    counted = docs.select(doc, *[c.alias(n) for n, c in readability(F.col(text)).items()], words.alias("nodes"))
+    split = docs.select(doc, F.col(text).alias("__text"), text_words(F.col(text)).alias("__words"))
+    counted = split.select(doc, *[c.alias(n) for n, c in readability(F.col("__text"), F.col("__words")).items()], F.array_distinct("__words").alias("nodes"))
     per_sentence = F.col("n_words") / F.greatest(F.col("n_sentences"), F.lit(1))
     long_share = F.lit(100) * F.col("n_long") / F.col("n_words")
     shape = [F.concat(F.lit(m), F.floor(c / w).cast("string")) for m, c, w in (("#sentence ", per_sentence, 3), ("#long ", long_share, 4), ("#both ", lix(), 4))]
